@@ -17,97 +17,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker remembers; the memory is emptied when it is full.
-MAX_WORDS = 600_000
+from switchyard.llm.memo import WordMemory
+
+#: Words that a worker remembers.
+MAX_WORDS = 1_200_000
 #: Texts whose words are looked up together.
 GROUP = 256
 
 
 class WordEncoder:
-    """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)``."""
+    """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)``.
+
+    A text of Latin-1 characters is lower-cased at once, which for those is
+    what the tokenizer does, so that capitals share a memory entry; other texts
+    keep their letters and leave it to the tokenizer.
+    """
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: the merges alone, for words that are already in the form that the merges see
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.byte_letters = _byte_letters()
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size, bool)
         for piece, number in self.tokenizer.get_vocab().items():
             self.ends[number] = piece.endswith("</w>")
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {"": b""}
-        self.max_words = max_words
+        self.marks = {mark: self._whole(mark) for mark in ",."}
+        self.memory = WordMemory(self._learn, max_words)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that the memory lacks; they also go into the memory."""
-        if len(self.known) + len(words) > self.max_words:
-            self.known = {"": b""}
-        known, found, tails, plain, mixed = self.known, {}, [], set(), []
+        found: dict[str, bytes] = {"": b""}
+        tails, plain, mixed = [], set(), []
         for w in words:
             if w.isalpha():
                 plain.add(w)
-            elif w[-1] in ",." and w[:-1].isalpha():
+            elif w and w[-1] in ",." and w[:-1].isalpha():  # letters, then one mark: two runs to the tokenizer
                 tails.append(w)
-                if w[:-1] not in known:
-                    plain.add(w[:-1])
-            else:
+                plain.add(w[:-1])
+            elif w:
                 mixed.append(w)
+        simple = {w: w.encode().decode("latin-1").translate(self.byte_letters) for w in plain if _in_final_form(w)}
+        self._learn_joined(list(simple), list(simple.values()), found)
+        mixed += plain - simple.keys()
         for w, encoded in zip(mixed, self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False), strict=True):
             found[w] = np.asarray(encoded.ids, "<u4").tobytes()
-        self._learn_joined(list(plain), found)
-        ends = {end: self._whole(end) for end in ",."}
         for w in tails:
-            core = found.get(w[:-1])
-            found[w] = (known[w[:-1]] if core is None else core) + ends[w[-1]]
-        known.update(found)
+            found[w] = found[w[:-1]] + self.marks[w[-1]]
         return found
 
-    def _learn_joined(self, words: list[str], found: dict[str, bytes]) -> None:
-        """Words of letters, many to a call: each ends with the first piece that ends a word."""
-        groups = [words[at : at + 32] for at in range(0, len(words), 32)]
-        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.asarray(encoded.ids, "<u4")
+    def _learn_joined(self, words: list[str], forms: list[str], found: dict[str, bytes]) -> None:
+        """Many words to a call: each ends with the first piece that ends a word."""
+        for at in range(0, len(words), 512):
+            ids = np.asarray(self.merges.encode_batch_fast([" ".join(forms[at : at + 512])], add_special_tokens=False)[0].ids, "<u4")
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) != len(group):  # some word is more than one run of letters to the tokenizer
-                for w in group:
-                    found[w] = self._whole(w)
-                continue
             raw, start = ids.tobytes(), 0
-            for w, stop in zip(group, stops, strict=True):
+            for w, stop in zip(words[at : at + 512], stops, strict=True):
                 found[w] = raw[start:stop]
                 start = stop
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text has none."""
-        out: list[bytes | None] = []
-        late: list[tuple[int, list[str], list[bytes | None]]] = []
-        unknown: set[str] = set()
-        look = self.known.get
-        for text in texts:
+        out: list[bytes] = [b""] * len(texts)
+        places, split = [], []
+        for at, text in enumerate(texts):
             if not text:
-                out.append(b"")
-            elif any(s in text for s in self.specials):
-                out.append(self._whole(text))
-            else:
-                words = (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-                parts = list(map(look, words))
-                if None in parts:
-                    unknown.update([w for w, p in zip(words, parts, strict=True) if p is None])
-                    late.append((len(out), words, parts))
-                    out.append(None)
-                else:
-                    out.append(b"".join(parts))
-        if late:
-            found = self._learn(unknown)
-            for at, words, parts in late:
-                out[at] = b"".join([found[w] if p is None else p for w, p in zip(words, parts, strict=True)])
+                continue
+            if any(s in text for s in self.specials):
+                out[at] = self._whole(text)
+                continue
+            places.append(at)
+            split.append((text.lower() if _latin(text) else text).replace("\n", " ").split(" "))
+        for at, parts in zip(places, self.memory.look_up(split), strict=True):
+            out[at] = b"".join(parts)
         return out
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _in_final_form(word: str) -> bool:
+    """Whether the tokenizer's normaliser leaves a word as it is: small letters of Latin-1."""
+    return _latin(word) and word == word.lower()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for U+0100 on, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
