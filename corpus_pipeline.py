@@ -1,4 +1,62 @@
-STAGES = []
+"""A training-data pipeline over ``documents``: reject toxic texts, drop exact and near copies, mask secrets, pack.
+
+Each stage takes ``(spark, docs, sf_dir)``.  All but the last return the columns
+of their input, so that each works on what the one before has kept.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from switchyard.llm.exact_dedup import exact_duplicates
+from switchyard.llm.keep import one_row_each, without_ids
+from switchyard.llm.near_dedup import near_duplicates
+from switchyard.llm.packing import pack_documents
+from switchyard.llm.secrets import redact_secrets
+from switchyard.llm.toxicity import held_out, score_toxicity
+from switchyard.plans.scratch import materialize
+
+#: No SQL can express the stages.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples don't vote down."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    rejected = score_toxicity(docs, labels).where("predicted = 1").select("doc_id")
+    return without_ids(docs, rejected)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the largest id, of each group of equal texts."""
+    groups = materialize(exact_duplicates(docs), "exact")
+    repeated = groups.where("kept and group_size > 1").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    return one_row_each(without_ids(docs, groups.where("not kept").select("doc_id")), repeated)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each component of near-duplicates."""
+    return without_ids(docs, near_duplicates(docs).where("not kept").select("doc_id"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document with its place in a sequence of 4096 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each written and read again, over the whole of ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
