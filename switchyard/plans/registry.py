@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from switchyard.plans import analytics, integrity, prompts
+
 
 def queries() -> dict:
-    return {}
+    return {**prompts.QUERIES, **integrity.QUERIES, **analytics.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**prompts.SQL, **integrity.SQL, **analytics.SQL}
