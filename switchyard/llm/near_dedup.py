@@ -16,6 +16,10 @@ confirmed on full shingle sets.  Copies with equal sets are one document in all
 of this.  At the last level a node that is still large holds documents that
 agree in a dozen tokens; there each is compared with the node's smallest id and
 with its successor, so the work stays linear in the node.
+
+Candidates are confirmed in two rounds.  The first takes one likely partner for
+each row of a node, which joins groups of copies by few proofs; the second
+takes every pair of a node that these links have left in different components.
 """
 
 from __future__ import annotations
@@ -111,8 +115,13 @@ def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left == right).mean(axis=1)
 
 
-def _node_pairs(least: float, limit: int):
-    """Pairs within nodes of at most ``limit`` rows; the rows come sorted by path."""
+def _node_pairs(least: float, likely: float | None, limit: int):
+    """Pairs within nodes of at most ``limit`` rows; the rows come sorted by path, with a label.
+
+    All pairs of a node are compared.  With ``likely``, each row gets only its
+    first partner of at least that agreement, which holds groups of copies
+    together; without, all pairs of different labels that agree enough.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -131,15 +140,26 @@ def _node_pairs(least: float, limit: int):
         if table.num_rows < 2:
             return
         paths, ids = table.column("path").to_numpy(), table.column("doc_id").to_numpy()
+        labels = table.column("label").to_numpy()
         signatures = _signature_matrix(table.column("signature").combine_chunks())
+        partner, strength = np.full(len(paths), -1), np.zeros(len(paths))
         for step in range(1, limit):
             same = np.flatnonzero(paths[step:] == paths[:-step])
             if not len(same):
-                return
+                break
+            if likely is None:
+                same = same[labels[same] != labels[same + step]]
             agreement = _agreement(signatures[same], signatures[same + step])
-            good = (agreement >= least) & (ids[same] != ids[same + step])
-            a, b = ids[same[good]], ids[same[good] + step]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agreement[good])], ["a", "b", "agreement"])
+            good = agreement >= (least if likely is None else likely)
+            if likely is not None:  # rows rise by id within a node, so the farthest partner is the first
+                partner[same[good] + step], strength[same[good] + step] = same[good], agreement[good]
+            elif good.any():
+                a, b = ids[same[good]], ids[same[good] + step]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agreement[good])], ["a", "b", "agreement"])
+        held = np.flatnonzero(partner >= 0)
+        if len(held):
+            a, b = ids[partner[held]], ids[held]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(strength[held])], ["a", "b", "agreement"])
 
     return run
 
@@ -169,31 +189,35 @@ def _large_node_pairs(nodes: DataFrame, signatures: DataFrame, least: float) ->
     return both.join(left, "a").join(right, "b").mapInArrow(_given_pairs(least), _PAIRS)
 
 
-def candidate_pairs(signatures: DataFrame, threshold: float, trees: int, node_limit: int) -> DataFrame:
-    """Distinct ``(a, b, agreement)`` of documents that meet in a node and whose signatures agree enough."""
-    least = threshold - MARGIN
-    found: list[DataFrame] = []
+def tree_nodes(signatures: DataFrame, trees: int, node_limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """``(path, doc_id)`` of all nodes that got small, and of those that were still large at the last level."""
+    small: list[DataFrame] = []
     rows = signatures.mapInArrow(_first_paths(trees, FIRST_LEVELS), "path long, doc_id long")
-    level = FIRST_LEVELS
+    level, left = FIRST_LEVELS, None
     while True:
         tallies = rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
         shared = materialize(rows.join(tallies, "path"), "nodes")
-        small = shared.where(F.col("members") <= node_limit).join(signatures.select("doc_id", "signature"), "doc_id")
-        sorted_rows = small.select("path", "doc_id", "signature").repartition("path").sortWithinPartitions("path", "doc_id")
-        found.append(sorted_rows.mapInArrow(_node_pairs(least, node_limit), _PAIRS))
+        small.append(shared.where(F.col("members") <= node_limit).select("path", "doc_id"))
         large = shared.where(F.col("members") > node_limit).select("path", "doc_id")
         if large.isEmpty():
             break
         if level >= LAST_LEVEL:
-            found.append(_large_node_pairs(large, signatures, least))
+            left = large
             break
         down = large.join(signatures.select("doc_id", "signature"), "doc_id").select("path", "doc_id", "signature")
         rows = down.mapInArrow(_next_paths(STEP), "path long, doc_id long")
         level += STEP
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return materialize(pairs.distinct(), "pairs")
+    nodes = small[0]
+    for more in small[1:]:
+        nodes = nodes.unionByName(more)
+    return nodes, left
+
+
+def node_pairs(nodes: DataFrame, signatures: DataFrame, least: float, likely: float | None, node_limit: int) -> DataFrame:
+    """Distinct ``(a, b)`` from exhaustive comparison of small nodes; ``nodes`` has a ``label`` for each row."""
+    rows = nodes.join(signatures.select("doc_id", "signature"), "doc_id").select("path", "doc_id", "label", "signature")
+    ordered = rows.repartition("path").sortWithinPartitions("path", "doc_id")
+    return ordered.mapInArrow(_node_pairs(least, likely, node_limit), _PAIRS).select("a", "b").distinct()
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,17 +279,27 @@ def near_duplicates(
     heads = classed.where("doc_id = class_id").select("doc_id")
     signatures = materialize(linkable.select("doc_id", "signature").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads")
 
-    pairs = candidate_pairs(signatures, threshold, trees, node_limit)
-    # first one likely partner for each document; what that joins needs no other proof
-    likely = pairs.where(F.col("agreement") >= threshold + 0.05)
-    first = materialize(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = confirmed_links(chosen, first, threshold)
+    least = threshold - MARGIN
+    nodes, large = tree_nodes(signatures, trees, node_limit)
+    # first a likely partner for each row of a node: copies come together by few proofs
+    near = node_pairs(nodes.withColumn("label", F.col("doc_id")), signatures, least, threshold + 0.05, node_limit)
+    if large is not None:
+        near = near.unionByName(_large_node_pairs(large, signatures, least).select("a", "b"))
+    near = materialize(near.distinct(), "near")
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = confirmed_links(chosen, materialize(first, "first"), threshold)
     joined = materialize(connected_components(links, "a", "b"), "joined")
-    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-    for end in "ab":
-        rest = rest.join(joined.select(F.col("id").alias(end), F.col("component").alias(f"in_{end}")), end, "left")
-    apart = materialize(rest.where("coalesce(in_a, a) <> coalesce(in_b, b)").select("a", "b"), "apart")
-    links = links.unionByName(confirmed_links(chosen, apart, threshold))
+
+    def label(rows: DataFrame, column: str, out: str) -> DataFrame:
+        named = joined.select(F.col("id").alias(column), F.col("component").alias("_c"))
+        return rows.join(named, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
+
+    # then every pair of a node that is still apart
+    labelled = materialize(label(nodes, "doc_id", "label"), "labelled")
+    mixed = labelled.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("path")
+    apart = node_pairs(labelled.join(mixed, "path", "left_semi"), signatures, least, None, node_limit).unionByName(near)
+    apart = label(label(apart.distinct(), "a", "in_a"), "b", "in_b").where("in_a <> in_b").select("a", "b")
+    links = links.unionByName(confirmed_links(chosen, materialize(apart, "apart"), threshold))
     components = connected_components(links, "a", "b")
 
     by_class = classed.join(components.withColumnRenamed("id", "class_id"), "class_id", "left")
