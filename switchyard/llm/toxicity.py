@@ -32,12 +32,15 @@ from switchyard.plans.scratch import materialize
 #: Bounds of the fitted model: labelled examples, terms.
 MAX_EXAMPLES = 8000
 MAX_TERMS = 1024
-#: Evidence that a term must give: examples that hold it, and chi-squared with one degree of freedom.
+#: Evidence that a term must give: examples that hold it, also as a share, and chi-squared with one degree of freedom.
 MIN_SUPPORT = 3
-MIN_CHI2 = 15.0
+SUPPORT_SHARE = 0.001
+MIN_CHI2 = 20.0
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 1.0
 BLOCK = 64
+#: Blocks that are scored before any are passed over.
+FIRST_BLOCKS = 6
 EVIDENCE = 3
 PREFIXES = (4, 5, 6)
 MAX_WORDS = 800_000
@@ -114,16 +117,24 @@ class ExampleIndex:
     def nearest(self, terms: list[int], weights: np.ndarray, k: int, skip: int | None = None) -> list[tuple[float, int, int]]:
         """The k examples of highest positive cosine as (cosine, id, label), ties to the smaller id; exact."""
         bounds = weights @ self.bounds[terms]
-        best: list[tuple[float, int, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or (len(best) == k and bounds[block] < -best[-1][0] - 1e-12):
+        order = np.argsort(-bounds, kind="stable")
+        places, cosines = np.zeros(0, np.int64), np.zeros(0)
+        at, step = 0, FIRST_BLOCKS
+        while at < len(order):
+            least = -np.partition(-cosines, k - 1)[k - 1] if len(cosines) >= k else 0.0
+            blocks = order[at : at + step]
+            blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least - 1e-9)]
+            if not len(blocks):
                 break
-            at = slice(block * BLOCK, min(self.n, (block + 1) * BLOCK))
-            cosines = weights @ self.dense[terms, at]
-            ids, labels = self.ids[at], self.labels[at]
-            best += [(-round(float(cosines[i]), 12), int(ids[i]), int(labels[i])) for i in np.flatnonzero(cosines > 0).tolist() if ids[i] != skip]
-            best = sorted(best)[:k]
-        return [(-c, doc_id, label) for c, doc_id, label in best]
+            columns = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = np.round(weights @ self.dense[np.ix_(terms, columns)], 12)
+            good = (found > 0) & (found >= least - 1e-9)
+            if skip is not None:
+                good &= self.ids[np.minimum(columns, self.n - 1)] != skip
+            places, cosines = np.concatenate([places, columns[good]]), np.concatenate([cosines, found[good]])
+            at, step = at + step, 8 * step  # few blocks set the mark, then many are passed over at once
+        first = np.lexsort((self.ids[places], -cosines))[:k]
+        return [(float(cosines[i]), int(self.ids[places[i]]), int(self.labels[places[i]])) for i in first]
 
     def vote(self, found: list[tuple[float, int, int]]) -> float:
         mass = sum(c * c for c, _, _ in found)
@@ -213,7 +224,7 @@ def score_toxicity(
     expected = F.col("c") * F.lit(p / n if n else 0.0)
     spread = expected * F.lit(1 - p / n if n else 0.0) * (F.lit(n) - F.col("c")) / F.lit(max(1.0, n))
     chi2 = F.when(spread > 0, (F.col("a") - expected) ** 2 / spread).otherwise(F.lit(0.0))
-    strong = by_term.withColumn("chi2", chi2).where((F.col("c") >= MIN_SUPPORT) & (F.col("chi2") >= MIN_CHI2)).orderBy(F.desc("chi2"), "term").limit(max_terms)
+    strong = by_term.withColumn("chi2", chi2).where((F.col("c") >= max(MIN_SUPPORT, SUPPORT_SHARE * n)) & (F.col("chi2") >= MIN_CHI2)).orderBy(F.desc("chi2"), "term").limit(max_terms)
     vocabulary = [r["term"] for r in strong.select("term").collect()]
 
     counted = materialize(chosen.mapInArrow(_count_batches(spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})), "doc_id long, terms array<int>, counts array<int>"), "counted")
