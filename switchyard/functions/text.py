@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Separator of the parts of hashed identifiers.
 UNIT = "\x1f"
@@ -52,7 +53,7 @@ def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compatibility_fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 
@@ -116,10 +117,15 @@ def shingle_hashes(normalized: Column | str, size: int = 3) -> Column:
     Text of fewer tokens is hashed token by token, text without any as one
     empty token.  Hex digits sort as the unsigned numbers that they stand for.
     """
-    words = tokens(normalized)
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - F.lit(size - 1)), lambda i: F.concat_ws(UNIT, F.slice(words, i, size)))
-    short = F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(words)
-    grams = F.when(F.size(words) < size, short).otherwise(windows)
+
+
+    def windows(words: Column) -> Column:
+        long = F.transform(F.sequence(F.lit(1), F.size(words) - F.lit(size - 1)), lambda i: F.concat_ws(UNIT, F.slice(words, i, size)))
+        short = F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(words)
+        return F.when(F.size(words) < size, short).otherwise(long)
+
+    # as the variable of an outer lambda the words are found once, not once a window
+    grams = F.transform(F.array(tokens(normalized)), windows)[0]
     return F.array_distinct(F.transform(grams, lambda g: F.substring(F.sha2(g, 256), 1, 16)))
 
 

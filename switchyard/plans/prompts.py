@@ -129,7 +129,9 @@ ordered as (
 nat as (
   select *, case when consumed + size / 2 <= 0.8::double * total then 'train' when consumed + size / 2 <= (0.8::double + 0.1::double) * total then 'validation' else 'test' end as p from ordered
 ),
-used as (select list_filter(['train', 'validation', 'test'], lambda s: not list_contains((select coalesce(list(distinct p), []) from nat where i < n - 2), s)) as e, (select p from nat where i = n - 2) as p2),
+taken as (select distinct p from nat where i < n - 2),
+empties as (select s, k from (values ('train', 1), ('validation', 2), ('test', 3)) v(s, k) where s not in (select p from taken)),
+used as (select coalesce((select list(s order by k) from empties), cast([] as varchar[])) as e, (select p from nat where i = n - 2) as p2),
 placed as (
   select group_id, size, case
     when n = 3 then ['train', 'validation', 'test'][i + 1]

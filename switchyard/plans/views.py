@@ -92,15 +92,15 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price for every supplier and month: the least price of an item in it, from the month's start."""
     items = table(spark, sf_dir, "lineitem")
     month = F.date_trunc("month", F.col("l_shipdate"))
-    unit = F.round(F.min(F.col("l_extendedprice") / F.col("l_quantity")), 4)
+    unit = F.floor(F.min(F.col("l_extendedprice") / F.col("l_quantity")) * 100) / 100.0
     return items.groupBy(F.col("l_suppkey").alias("model_id"), month.cast("timestamp").alias("effective_at")).agg(unit.alias("input_per_unit")).withColumns(
-        {"cached_input_per_unit": F.round(F.col("input_per_unit") / 2, 4), "output_per_unit": F.round(F.col("input_per_unit") * 2, 4)}
+        {"cached_input_per_unit": F.col("input_per_unit") / 2, "output_per_unit": F.col("input_per_unit") * 2}
     )
 
 
 PRICES_SQL = """
 prices as (
-  select l_suppkey as model_id, date_trunc('month', l_shipdate) as effective_at, round(min(l_extendedprice / l_quantity), 4) as input_per_unit
+  select l_suppkey as model_id, date_trunc('month', l_shipdate) as effective_at, floor(min(l_extendedprice / l_quantity) * 100) / 100.0 as input_per_unit
   from lineitem group by 1, 2
 )"""
 
