@@ -17,9 +17,9 @@ CONFIG = sp.SplitBuildConfig("documents", "generated", "canonical-v1")
 
 _NORM = r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))"
 _SHINGLES = rf"""
-norm as (select cast(doc_id as varchar) as query_id, text, {_NORM} as n from documents),
+norm as materialized (select cast(doc_id as varchar) as query_id, text, {_NORM} as n from documents),
 tok as (select query_id, regexp_extract_all(n, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_ ]') as t from norm),
-sh as (
+sh as materialized (
   select query_id, list_distinct(list_transform(
     case when len(t) = 0 then [''] when len(t) < 3 then t else list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i+2], chr(31))) end,
     lambda g: substr(sha256(g), 1, 16))) as h
@@ -32,19 +32,19 @@ cand as (
   select distinct a.query_id as a, b.query_id as b from sig a join sizes s on s.bucket = a.bucket and s.n <= 128 join sig b on a.bucket = b.bucket and a.query_id < b.query_id
 ),
 scored as (select a, b, len(list_intersect(x.h, y.h)) as i, len(x.h) as na, len(y.h) as nb from cand join sh x on x.query_id = a join sh y on y.query_id = b),
-pairs as (select a, b, i / (na + nb - i) as similarity from scored where i / (na + nb - i) >= 0.9)"""
+pairs as materialized (select a, b, i / (na + nb - i) as similarity from scored where i / (na + nb - i) >= 0.9)"""
 _CLUSTERS = _PAIRS + """,
 fp as (select query_id, sha256(text) as e, sha256(n) as m from norm),
-edges as (
+edges as materialized (
   select a, b, 'near_duplicate' as reason from pairs
   union all select min(query_id) over (partition by e), query_id, 'exact_prompt' from fp
   union all select min(query_id) over (partition by m), query_id, 'normalized_prompt' from fp
 ),
 both_ways as (select a, b from edges where a <> b union select b, a from edges where a <> b),
 reach as (select query_id as id, query_id as low from norm union select e.b, r.low from reach r join both_ways e on e.a = r.id),
-roots as (select id as query_id, min(low) as root from reach group by 1),
+roots as materialized (select id as query_id, min(low) as root from reach group by 1),
 named as (select root, 'dup-' || substr(sha256(string_agg(query_id, chr(31) order by query_id)), 1, 20) as cluster_id, count(*) as size from roots group by 1),
-members as (select query_id, cluster_id, size from roots join named using (root))"""
+members as materialized (select query_id, cluster_id, size from roots join named using (root))"""
 
 
 def _register(name: str, sql: str | None = None):
