@@ -60,7 +60,7 @@ class WordEncoder:
         for w in words:
             if w.isalpha():
                 plain.add(w)
-            elif w and w[-1] in ",." and w[:-1].isalpha():  # letters, then one mark: two runs to the tokenizer
+            elif w and w[-1] in ",." and w[:-1].isalpha() and _latin(w):  # letters, then one mark: two runs to the tokenizer
                 tails.append(w)
                 plain.add(w[:-1])
             elif w:
