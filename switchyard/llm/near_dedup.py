@@ -13,9 +13,9 @@ all of them with a probability of some 1e-4.
 Documents compute the first levels by themselves, without a shuffle.  What then
 shares a node is compared by signature; pairs that may reach the threshold are
 confirmed on full shingle sets.  Copies with equal sets are one document in all
-of this.  At the last level a node that is still large holds documents that
-agree in a dozen tokens; there each is compared with the node's smallest id and
-with its successor, so the work stays linear in the node.
+of this.  In a node that is too large, what resembles it as a whole is compared
+with a pivot and a neighbour and leaves, since branching would not part it; so
+the work stays linear in a group of near copies.
 
 Candidates are confirmed in two rounds.  The first takes one likely partner for
 each row of a node, which joins groups of copies by few proofs; the second
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,12 @@ SIGNATURE = 128
 TREES = 12
 FIRST_LEVELS = 3
 #: Levels added in each further round, and the last level.
-STEP, LAST_LEVEL = 2, 9
+STEP, LAST_LEVEL = 2, 11
 NODE_LIMIT = 24
 #: Signature agreement from which a pair is confirmed on full sets: five standard deviations under 0.75.
 MARGIN = 0.20
+#: Rows of a large node whose agreement with its pivot is under the threshold by more than this branch on.
+UNLIKE = 0.05
 #: More ids than this are not broadcast but joined by shuffling.
 BROADCAST_IDS = 500_000
 
@@ -167,33 +170,39 @@ def _node_pairs(least: float, likely: float | None, limit: int):
 _PAIRS = "a long, b long, agreement double"
 
 
-def _given_pairs(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            agreement = _agreement(_signature_matrix(batch.column("sig_a")), _signature_matrix(batch.column("sig_b")))
-            good = agreement >= least
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[good]), pa.array(np.maximum(a, b)[good]), pa.array(agreement[good])], ["a", "b", "agreement"])
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        agreement = _agreement(_signature_matrix(batch.column("sig_a")), _signature_matrix(batch.column("sig_b")))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "a", "b", "star")), pa.array(agreement)], ["path", "a", "b", "star", "agreement"])
 
-    return run
 
+def _large_nodes(nodes: DataFrame, signatures: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` that a large node gives at once, and the rows of it that branch on.
 
-def _large_node_pairs(nodes: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
-    """In nodes that never got small: each row with the node's smallest id, and with the next larger id of its share."""
-    pivots = nodes.groupBy("path").agg(F.min("doc_id").alias("a"))
-    stars = nodes.join(pivots, "path").where("doc_id > a").select("a", F.col("doc_id").alias("b"))
-    share = Window.partitionBy("path", F.pmod(F.xxhash64("doc_id"), F.lit(16))).orderBy("doc_id")
-    chains = nodes.select(F.lag("doc_id").over(share).alias("a"), F.col("doc_id").alias("b")).where("a < b")
-    both = stars.unionByName(chains).distinct()
+    Each row is compared with the node's pivot, a row by hash, and with the row
+    before it in its share.  Rows that resemble the pivot would stay together
+    however long they branched, so they leave; every tree and path has a pivot
+    of its own, so a member of a large group meets dozens of others.
+    """
+    chance = F.xxhash64("path", "doc_id")
+    pivots = nodes.groupBy("path").agg(F.min_by("doc_id", F.struct(chance, "doc_id")).alias("a"))
+    stars = nodes.join(pivots, "path").where("doc_id <> a").select("path", "a", F.col("doc_id").alias("b"), F.lit(True).alias("star"))
+    share = Window.partitionBy("path", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy(chance, "doc_id")
+    chains = nodes.select("path", F.lag("doc_id").over(share).alias("a"), F.col("doc_id").alias("b"), F.lit(False).alias("star")).where("a <> b")
     left, right = (signatures.select(F.col("doc_id").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
-    return both.join(left, "a").join(right, "b").mapInArrow(_given_pairs(least), _PAIRS)
+    both = stars.unionByName(chains).join(left, "a").join(right, "b")
+    compared = materialize(both.mapInArrow(_compared, "path long, a long, b long, star boolean, agreement double"), "compared")
+    pairs = compared.where(F.col("agreement") >= threshold - MARGIN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    unlike = compared.where(F.col("star") & (F.col("agreement") < threshold - UNLIKE)).select("path", F.col("b").alias("doc_id"))
+    return pairs, unlike.unionByName(pivots.select("path", F.col("a").alias("doc_id")))
 
 
-def tree_nodes(signatures: DataFrame, trees: int, node_limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """``(path, doc_id)`` of all nodes that got small, and of those that were still large at the last level."""
+def tree_nodes(signatures: DataFrame, threshold: float, trees: int, node_limit: int) -> tuple[DataFrame, DataFrame]:
+    """``(path, doc_id)`` of all nodes that got small, and pairs ``(a, b)`` of those that did not."""
     small: list[DataFrame] = []
+    pairs: list[DataFrame] = []
     rows = signatures.mapInArrow(_first_paths(trees, FIRST_LEVELS), "path long, doc_id long")
-    level, left = FIRST_LEVELS, None
+    level = FIRST_LEVELS
     while True:
         tallies = rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
         shared = materialize(rows.join(tallies, "path"), "nodes")
@@ -201,16 +210,14 @@ def tree_nodes(signatures: DataFrame, trees: int, node_limit: int) -> tuple[Data
         large = shared.where(F.col("members") > node_limit).select("path", "doc_id")
         if large.isEmpty():
             break
+        found, rest = _large_nodes(large, signatures, threshold)
+        pairs.append(found)
         if level >= LAST_LEVEL:
-            left = large
             break
-        down = large.join(signatures.select("doc_id", "signature"), "doc_id").select("path", "doc_id", "signature")
+        down = rest.join(signatures.select("doc_id", "signature"), "doc_id").select("path", "doc_id", "signature")
         rows = down.mapInArrow(_next_paths(STEP), "path long, doc_id long")
         level += STEP
-    nodes = small[0]
-    for more in small[1:]:
-        nodes = nodes.unionByName(more)
-    return nodes, left
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, pairs, signatures.sparkSession.createDataFrame([], "a long, b long"))
 
 
 def node_pairs(nodes: DataFrame, signatures: DataFrame, least: float, likely: float | None, node_limit: int) -> DataFrame:
@@ -280,12 +287,10 @@ def near_duplicates(
     signatures = materialize(linkable.select("doc_id", "signature").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads")
 
     least = threshold - MARGIN
-    nodes, large = tree_nodes(signatures, trees, node_limit)
+    nodes, met = tree_nodes(signatures, threshold, trees, node_limit)
     # first a likely partner for each row of a node: copies come together by few proofs
     near = node_pairs(nodes.withColumn("label", F.col("doc_id")), signatures, least, threshold + 0.05, node_limit)
-    if large is not None:
-        near = near.unionByName(_large_node_pairs(large, signatures, least).select("a", "b"))
-    near = materialize(near.distinct(), "near")
+    near = materialize(near.unionByName(met).distinct(), "near")
     first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = confirmed_links(chosen, materialize(first, "first"), threshold)
     joined = materialize(connected_components(links, "a", "b"), "joined")
