@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from switchyard.llm.memo import small_parts
 from switchyard.plans.scratch import materialize
 
 #: The bitmaps never exceed 2**29 bits (64 MiB), which is also the most that is broadcast.
@@ -37,7 +38,7 @@ def normalised_digest(text: bytes | None) -> bytes:
 
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_parts(batches):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         digests = pa.array([normalised_digest(t) for t in texts], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), digests], ["doc_id", "digest"])

@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+
+#: Rows, and so whole texts, that are in Python's hands at a time.
+PART_ROWS = 256
+
+
+def small_parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut to a few rows each, so that texts are not all copied at once."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
 
 
 class _Layer(dict):

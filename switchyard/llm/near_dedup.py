@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from switchyard.llm.memo import small_parts
 from switchyard.llm.shingles import Minwise, mix, shingle_set
 from switchyard.operators.graph import connected_components
 from switchyard.plans.scratch import materialize
@@ -55,7 +56,7 @@ _SCHEMA = "doc_id long, n_shingles long, set_id binary, signature binary"
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     minwise = Minwise(SIGNATURE)
-    for batch in batches:
+    for batch in small_parts(batches):
         sizes, names, signatures = [], [], []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             hashes = shingle_set(text)
@@ -228,16 +229,14 @@ def node_pairs(nodes: DataFrame, signatures: DataFrame, least: float, likely: fl
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            sets = [shingle_set(t).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+    for part in small_parts(batches):
+        sets = [shingle_set(t).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
 
 def _confirm(threshold_hundredths: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches):
             good = []
             for one, other in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
                 left, right = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from switchyard.llm.memo import small_parts
+
 #: Kinds in the order in which spans that start together are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "token", "key", "encoded")
 BASE_KINDS = KINDS[:3]
@@ -207,7 +209,7 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_parts(batches):
         spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan_text(t)] for t in batch.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS)], ["doc_id", "spans"])
 
@@ -241,7 +243,7 @@ def redact_text(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
 
 def _redacted(text_at: int, size_at: int | None, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches):
             column = batch.column(text_at)
             found = {i: spans for i, t in enumerate(column.cast(pa.binary()).to_pylist()) if (spans := scan_text(t))}
             if found:

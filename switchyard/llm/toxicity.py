@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.llm.memo import WordMemory
+from switchyard.llm.memo import WordMemory, small_parts
 from switchyard.llm.shingles import shingle_set
 from switchyard.plans.scratch import materialize
 
@@ -43,7 +43,7 @@ BLOCK = 64
 FIRST_BLOCKS = 6
 EVIDENCE = 3
 PREFIXES = (4, 5, 6)
-MAX_WORDS = 800_000
+MAX_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -58,7 +58,7 @@ def _words(text: str | None) -> list[str]:
 
 
 def _example_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_parts(batches):
         texts = batch.column(2).to_pylist()
         terms = [sorted({t for w in set(_words(x)) for t in terms_of(w)}) for x in texts]
         keys = [int(s[0].astype(np.int64)) if len(s := shingle_set((x or "").encode())) else None for x in texts]
