@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from switchyard.llm.memo import WordMemory
 
 #: Words that a worker remembers.
-MAX_WORDS = 800_000
+MAX_WORDS = 500_000
 #: Texts whose words are looked up together.
 GROUP = 256
 
