@@ -13,9 +13,15 @@ all of them with a probability of some 1e-4.
 Documents compute the first levels by themselves, without a shuffle.  What then
 shares a node is compared by signature; pairs that may reach the threshold are
 confirmed on full shingle sets.  Copies with equal sets are one document in all
-of this.  In a node that is too large, what resembles it as a whole is compared
-with a pivot and a neighbour and leaves, since branching would not part it; so
-the work stays linear in a group of near copies.
+of this.
+
+A group of near copies keeps its nodes large however long they branch.  So the
+rows of large nodes are first compared with a pivot and a neighbour; links that
+full sets confirm label them by component.  Pairs within a component need no
+comparison any more: a node of one label ends, and a node where few rows are
+outside its largest label is compared outside against inside, in units of
+bounded size.  Only other nodes branch on, with all their rows.  What is still
+large at the last level is compared by blocks, every pair of blocks in a unit.
 
 Candidates are confirmed in two rounds.  The first takes one likely partner for
 each row of a node, which joins groups of copies by few proofs; the second
@@ -39,15 +45,17 @@ from switchyard.operators.graph import connected_components
 from switchyard.plans.scratch import materialize
 
 SIGNATURE = 128
-TREES = 12
+TREES = 16
 FIRST_LEVELS = 3
 #: Levels added in each further round, and the last level.
 STEP, LAST_LEVEL = 2, 11
-NODE_LIMIT = 24
+NODE_LIMIT = 64
 #: Signature agreement from which a pair is confirmed on full sets: five standard deviations under 0.75.
 MARGIN = 0.20
-#: Rows of a large node whose agreement with its pivot is under the threshold by more than this branch on.
-UNLIKE = 0.05
+#: Rows outside a large node's main component up to which they are compared with all of it at once.
+OUTSIDERS = 256
+#: Rows of the main component in a unit, and of a block of a node that is large at the last level.
+UNIT, BLOCK = 512, 256
 #: More ids than this are not broadcast but joined by shuffling.
 BROADCAST_IDS = 500_000
 
@@ -119,12 +127,12 @@ def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left == right).mean(axis=1)
 
 
-def _node_pairs(least: float, likely: float | None, limit: int):
-    """Pairs within nodes of at most ``limit`` rows; the rows come sorted by path, with a label.
+def _node_pairs(least: float, likely: float | None):
+    """Pairs of different labels within nodes, whose rows come sorted by path, each with a label.
 
-    All pairs of a node are compared.  With ``likely``, each row gets only its
-    first partner of at least that agreement, which holds groups of copies
-    together; without, all pairs of different labels that agree enough.
+    With ``likely``, each row gets only its first partner of at least that
+    agreement, which holds groups of copies together; without, all pairs that
+    agree enough.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +155,11 @@ def _node_pairs(least: float, likely: float | None, limit: int):
         labels = table.column("label").to_numpy()
         signatures = _signature_matrix(table.column("signature").combine_chunks())
         partner, strength = np.full(len(paths), -1), np.zeros(len(paths))
-        for step in range(1, limit):
+        for step in range(1, len(paths)):
             same = np.flatnonzero(paths[step:] == paths[:-step])
             if not len(same):
                 break
-            if likely is None:
-                same = same[labels[same] != labels[same + step]]
+            same = same[labels[same] != labels[same + step]]
             agreement = _agreement(signatures[same], signatures[same + step])
             good = agreement >= (least if likely is None else likely)
             if likely is not None:  # rows rise by id within a node, so the farthest partner is the first
@@ -171,61 +178,98 @@ def _node_pairs(least: float, likely: float | None, limit: int):
 _PAIRS = "a long, b long, agreement double"
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        agreement = _agreement(_signature_matrix(batch.column("sig_a")), _signature_matrix(batch.column("sig_b")))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "a", "b", "star")), pa.array(agreement)], ["path", "a", "b", "star", "agreement"])
+def _likely_links(likely: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            agreement = _agreement(_signature_matrix(batch.column("sig_a")), _signature_matrix(batch.column("sig_b")))
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agreement)], ["a", "b", "agreement"])
+            yield out.filter(pa.array(agreement >= likely))
+
+    return run
+
+
+def _labelled(rows: DataFrame, joined: DataFrame | None, column: str = "doc_id", out: str = "label") -> DataFrame:
+    """``rows`` with the component of the id in ``column``, by itself the id."""
+    if joined is None:
+        return rows.withColumn(out, F.col(column))
+    named = joined.select(F.col("id").alias(column), F.col("component").alias("_c"))
+    return rows.join(named, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
 
 
-def _large_nodes(nodes: DataFrame, signatures: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``(a, b)`` that a large node gives at once, and the rows of it that branch on.
+def _group_links(large: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+    """Likely links ``(a, b)``, two a row at most, of the labelled rows of large nodes.
 
-    Each row is compared with the node's pivot, a row by hash, and with the row
-    before it in its share.  Rows that resemble the pivot would stay together
-    however long they branched, so they leave; every tree and path has a pivot
-    of its own, so a member of a large group meets dozens of others.
+    Each row is compared with its node's pivot, a row by hash, and with the row
+    before it in its share, where the labels differ.
     """
     chance = F.xxhash64("path", "doc_id")
-    pivots = nodes.groupBy("path").agg(F.min_by("doc_id", F.struct(chance, "doc_id")).alias("a"))
-    stars = nodes.join(pivots, "path").where("doc_id <> a").select("path", "a", F.col("doc_id").alias("b"), F.lit(True).alias("star"))
+    pivots = large.groupBy("path").agg(F.min_by(F.struct("doc_id", "label"), F.struct(chance, "doc_id")).alias("pivot"))
+    stars = large.join(pivots, "path").where("label <> pivot.label").select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b"))
     share = Window.partitionBy("path", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy(chance, "doc_id")
-    chains = nodes.select("path", F.lag("doc_id").over(share).alias("a"), F.col("doc_id").alias("b"), F.lit(False).alias("star")).where("a <> b")
+    before = large.select(F.lag(F.struct("doc_id", "label")).over(share).alias("before"), "doc_id", "label")
+    chains = before.where("before.label <> label").select(F.col("before.doc_id").alias("a"), F.col("doc_id").alias("b"))
     left, right = (signatures.select(F.col("doc_id").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
-    both = stars.unionByName(chains).join(left, "a").join(right, "b")
-    compared = materialize(both.mapInArrow(_compared, "path long, a long, b long, star boolean, agreement double"), "compared")
-    pairs = compared.where(F.col("agreement") >= threshold - MARGIN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    unlike = compared.where(F.col("star") & (F.col("agreement") < threshold - UNLIKE)).select("path", F.col("b").alias("doc_id"))
-    return pairs, unlike.unionByName(pivots.select("path", F.col("a").alias("doc_id")))
+    both = stars.unionByName(chains).distinct().join(left, "a").join(right, "b")
+    good = both.mapInArrow(_likely_links(threshold), _PAIRS)
+    best = good.groupBy("b").agg(F.min("a").alias("low"), F.max_by("a", F.struct("agreement", "a")).alias("near"))
+    return best.select(F.col("low").alias("a"), "b").union(best.select("near", "b")).distinct()
 
 
-def tree_nodes(signatures: DataFrame, threshold: float, trees: int, node_limit: int) -> tuple[DataFrame, DataFrame]:
-    """``(path, doc_id)`` of all nodes that got small, and pairs ``(a, b)`` of those that did not."""
-    small: list[DataFrame] = []
-    pairs: list[DataFrame] = []
+def _units(marked: DataFrame) -> DataFrame:
+    """``(path, doc_id)`` of bounded units of nodes: all outsiders with a share of the main component in each."""
+    parts = marked.withColumn("parts", F.ceil(F.col("main_rows") / UNIT).cast("int"))
+    inside = parts.where("label = main").select("path", "doc_id", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("unit"))
+    outside = parts.where("label <> main").select("path", "doc_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("unit"))
+    return inside.unionByName(outside).select(F.xxhash64("path", "unit").alias("path"), "doc_id")
+
+
+def _blocks(marked: DataFrame) -> DataFrame:
+    """``(path, doc_id)`` of units that hold two blocks of a node each, for all pairs of its blocks."""
+    parts = marked.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
+    mine = parts.withColumn("mine", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    dealt = mine.select("path", "doc_id", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return dealt.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"), "doc_id")
+
+
+def tree_nodes(docs: DataFrame, signatures: DataFrame, threshold: float, trees: int, node_limit: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``(path, doc_id)`` of all nodes to be compared, and tables of the links ``(a, b)`` confirmed on the way."""
+    nodes: list[DataFrame] = []
+    links: list[DataFrame] = []
+    joined: DataFrame | None = None
     rows = signatures.mapInArrow(_first_paths(trees, FIRST_LEVELS), "path long, doc_id long")
     level = FIRST_LEVELS
     while True:
         tallies = rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
         shared = materialize(rows.join(tallies, "path"), "nodes")
-        small.append(shared.where(F.col("members") <= node_limit).select("path", "doc_id"))
+        nodes.append(shared.where(F.col("members") <= node_limit).select("path", "doc_id"))
         large = shared.where(F.col("members") > node_limit).select("path", "doc_id")
         if large.isEmpty():
             break
-        found, rest = _large_nodes(large, signatures, threshold)
-        pairs.append(found)
+        found = confirmed_links(docs, materialize(_group_links(_labelled(large, joined), signatures, threshold), "likely"), threshold)
+        if not found.isEmpty():
+            links.append(found)
+            joined = materialize(connected_components(reduce(DataFrame.unionByName, links), "a", "b"), "joined")
+        named = materialize(_labelled(large, joined), "named")
+        sizes = named.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path")
+        mixed = sizes.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("main_rows"), F.sum("n").alias("members")).where("main_rows < members")
+        marked = materialize(named.join(mixed, "path"), "marked")
+        few = F.col("members") - F.col("main_rows") <= OUTSIDERS
+        nodes.append(_units(marked.where(few & (F.col("main_rows") > OUTSIDERS))))
+        rest = marked.where(~(few & (F.col("main_rows") > OUTSIDERS)))
         if level >= LAST_LEVEL:
+            nodes.append(_blocks(rest))
             break
         down = rest.join(signatures.select("doc_id", "signature"), "doc_id").select("path", "doc_id", "signature")
         rows = down.mapInArrow(_next_paths(STEP), "path long, doc_id long")
         level += STEP
-    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, pairs, signatures.sparkSession.createDataFrame([], "a long, b long"))
+    return reduce(DataFrame.unionByName, nodes), links
 
 
-def node_pairs(nodes: DataFrame, signatures: DataFrame, least: float, likely: float | None, node_limit: int) -> DataFrame:
-    """Distinct ``(a, b)`` from exhaustive comparison of small nodes; ``nodes`` has a ``label`` for each row."""
+def node_pairs(nodes: DataFrame, signatures: DataFrame, least: float, likely: float | None) -> DataFrame:
+    """Distinct ``(a, b)`` of different labels from exhaustive comparison of nodes; ``nodes`` has a ``label`` for each row."""
     rows = nodes.join(signatures.select("doc_id", "signature"), "doc_id").select("path", "doc_id", "label", "signature")
     ordered = rows.repartition("path").sortWithinPartitions("path", "doc_id")
-    return ordered.mapInArrow(_node_pairs(least, likely, node_limit), _PAIRS).select("a", "b").distinct()
+    return ordered.mapInArrow(_node_pairs(least, likely), _PAIRS).select("a", "b").distinct()
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,23 +330,22 @@ def near_duplicates(
     signatures = materialize(linkable.select("doc_id", "signature").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads")
 
     least = threshold - MARGIN
-    nodes, met = tree_nodes(signatures, threshold, trees, node_limit)
-    # first a likely partner for each row of a node: copies come together by few proofs
-    near = node_pairs(nodes.withColumn("label", F.col("doc_id")), signatures, least, threshold + 0.05, node_limit)
-    near = materialize(near.unionByName(met).distinct(), "near")
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = confirmed_links(chosen, materialize(first, "first"), threshold)
-    joined = materialize(connected_components(links, "a", "b"), "joined")
+    nodes, found = tree_nodes(chosen, signatures, threshold, trees, node_limit)
+    links = reduce(DataFrame.unionByName, found, docs.sparkSession.createDataFrame([], "a long, b long"))
 
-    def label(rows: DataFrame, column: str, out: str) -> DataFrame:
-        named = joined.select(F.col("id").alias(column), F.col("component").alias("_c"))
-        return rows.join(named, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
+    def mixed(links: DataFrame) -> DataFrame:
+        """The nodes of more than one component, whose rows are labelled by it."""
+        joined = materialize(connected_components(links, "a", "b"), "joined")
+        labelled = materialize(_labelled(nodes, joined), "labelled")
+        paths = labelled.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("path")
+        return labelled.join(paths, "path", "left_semi")
 
+    # first a likely partner for each row of a node: copies come together by few proofs
+    near = node_pairs(mixed(links), signatures, least, threshold + 0.05)
+    first = materialize(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = materialize(links.unionByName(confirmed_links(chosen, first, threshold)), "links")
     # then every pair of a node that is still apart
-    labelled = materialize(label(nodes, "doc_id", "label"), "labelled")
-    mixed = labelled.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("path")
-    apart = node_pairs(labelled.join(mixed, "path", "left_semi"), signatures, least, None, node_limit).unionByName(near)
-    apart = label(label(apart.distinct(), "a", "in_a"), "b", "in_b").where("in_a <> in_b").select("a", "b")
+    apart = node_pairs(mixed(links), signatures, least, None)
     links = links.unionByName(confirmed_links(chosen, materialize(apart, "apart"), threshold))
     components = connected_components(links, "a", "b")
 

@@ -92,6 +92,27 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: (len(_shingles(t)), want[i], want[i] == i) for i, t in rows}
 
 
+def test_near_duplicates_of_single_members_of_large_groups(spark):
+    """A hub whose copies are unlike each other, and texts that only one member of a tight group is near to."""
+    rng = random.Random(3)
+
+    def word() -> str:
+        return f"w{rng.randrange(10**6)}"
+
+    def edited(words: list[str], times: int) -> list[str]:
+        copy = list(words)
+        for at in rng.sample(range(2, len(words) - 3), times):
+            copy[at] = word()
+        return copy
+
+    hub, core = [word() for _ in range(200)], [word() for _ in range(200)]
+    tight = [edited(core, 2) for _ in range(250)]
+    texts = [hub, *(edited(hub, 5) for _ in range(250)), *tight, *(edited(tight[7 * i], 4 + i % 2) for i in range(30))]
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()} == _components(rows)
+
+
 def test_near_duplicate_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in near_duplicates(docs).collect())
