@@ -20,7 +20,9 @@ rows of large nodes are first compared with a pivot and a neighbour; links that
 full sets confirm label them by component.  Pairs within a component need no
 comparison any more: a node of one label ends, and a node where few rows are
 outside its largest label is compared outside against inside, in units of
-bounded size.  Only other nodes branch on, with all their rows.  What is still
+bounded size.  Disagreement of signatures is a metric, so rows inside that are
+so near their component's head that none of the outsiders can be near to them
+stay out of it.  Only other nodes branch on, with all their rows.  What is still
 large at the last level is compared by blocks, every pair of blocks in a unit.
 
 Candidates are confirmed in two rounds.  The first takes one likely partner for
@@ -196,31 +198,53 @@ def _labelled(rows: DataFrame, joined: DataFrame | None, column: str = "doc_id",
     return rows.join(named, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
 
 
+def _agreements(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """``(a, b, agreement)`` of the pairs ``(a, b)`` that agree by ``least``."""
+    left, right = (signatures.select(F.col("doc_id").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_likely_links(least), _PAIRS)
+
+
 def _group_links(large: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
-    """Likely links ``(a, b)``, two a row at most, of the labelled rows of large nodes.
+    """Likely links ``(a, b)``, at most two a row, of the labelled rows of large nodes.
 
-    Each row is compared with its node's pivot, a row by hash, and with the row
-    before it in its share, where the labels differ.
+    In the largest of its nodes a row is compared with the pivot, a row by hash,
+    and with the row before it in its share; and with the smallest pivot of all
+    its nodes.  Only where the labels differ.
     """
     chance = F.xxhash64("path", "doc_id")
-    pivots = large.groupBy("path").agg(F.min_by(F.struct("doc_id", "label"), F.struct(chance, "doc_id")).alias("pivot"))
-    stars = large.join(pivots, "path").where("label <> pivot.label").select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b"))
+    pivots = large.groupBy("path").agg(F.min_by(F.struct("doc_id", "label"), F.struct(chance, "doc_id")).alias("pivot"), F.count("*").alias("members"))
+    met = large.join(pivots, "path").where("label <> pivot.label")
+    stars = met.groupBy("doc_id").agg(F.max_by("pivot.doc_id", F.struct("members", "path")).alias("large"), F.min("pivot.doc_id").alias("low"))
+    stars = stars.select(F.explode(F.array_distinct(F.array("large", "low"))).alias("a"), F.col("doc_id").alias("b"))
     share = Window.partitionBy("path", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy(chance, "doc_id")
-    before = large.select(F.lag(F.struct("doc_id", "label")).over(share).alias("before"), "doc_id", "label")
-    chains = before.where("before.label <> label").select(F.col("before.doc_id").alias("a"), F.col("doc_id").alias("b"))
-    left, right = (signatures.select(F.col("doc_id").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
-    both = stars.unionByName(chains).distinct().join(left, "a").join(right, "b")
-    good = both.mapInArrow(_likely_links(threshold), _PAIRS)
+    before = large.select("path", F.lag(F.struct("doc_id", "label")).over(share).alias("before"), "doc_id", "label").where("before.label <> label")
+    chains = before.join(pivots.select("path", "members"), "path").groupBy("doc_id").agg(F.max_by("before.doc_id", F.struct("members", "path")).alias("a"))
+    good = _agreements(stars.unionByName(chains.select("a", F.col("doc_id").alias("b"))).distinct(), signatures, threshold)
     best = good.groupBy("b").agg(F.min("a").alias("low"), F.max_by("a", F.struct("agreement", "a")).alias("near"))
     return best.select(F.col("low").alias("a"), "b").union(best.select("near", "b")).distinct()
 
 
-def _units(marked: DataFrame) -> DataFrame:
-    """``(path, doc_id)`` of bounded units of nodes: all outsiders with a share of the main component in each."""
-    parts = marked.withColumn("parts", F.ceil(F.col("main_rows") / UNIT).cast("int"))
-    inside = parts.where("label = main").select("path", "doc_id", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("unit"))
-    outside = parts.where("label <> main").select("path", "doc_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("unit"))
-    return inside.unionByName(outside).select(F.xxhash64("path", "unit").alias("path"), "doc_id")
+def _units(marked: DataFrame, joined: DataFrame | None, signatures: DataFrame, threshold: float) -> DataFrame:
+    """``(path, doc_id)`` of bounded units of nodes: all outsiders with a share of the main component in each.
+
+    An outsider that agrees with the component's head by x can only agree enough
+    with rows that agree with the head by at most x + 1 - (threshold - MARGIN).
+    """
+    inside, outside = marked.where("label = main"), marked.where("label <> main")
+    if joined is not None:
+        spread = _agreements(joined.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")), signatures, -1.0)
+        inside = inside.join(spread.select(F.col("b").alias("doc_id"), F.col("agreement").alias("own")), "doc_id", "left")
+        heads = _agreements(outside.select(F.col("main").alias("a"), F.col("doc_id").alias("b")).distinct(), signatures, -1.0)
+        nearest = outside.join(heads.select(F.col("a").alias("main"), F.col("b").alias("doc_id"), "agreement"), ["main", "doc_id"])
+        nearest = nearest.groupBy("path").agg(F.max("agreement").alias("nearest"))
+        reach = F.col("nearest") + (1 - threshold + MARGIN + 1e-9)
+        inside = materialize(inside.join(nearest, "path").where(F.coalesce("own", F.lit(1.0)) <= reach).select("path", "doc_id"), "inside")
+    sizes = inside.groupBy("path").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("parts"))
+    dealt = inside.join(sizes, "path").select("path", "doc_id", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("unit"))
+    # outsiders of a node meet each other once, and again in each share
+    parts = outside.join(sizes, "path", "left").select("path", "doc_id", F.coalesce("parts", F.lit(1)).alias("parts"))
+    every = parts.select("path", "doc_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("unit"))
+    return dealt.unionByName(every).select(F.xxhash64("path", "unit").alias("path"), "doc_id")
 
 
 def _blocks(marked: DataFrame) -> DataFrame:
@@ -254,7 +278,7 @@ def tree_nodes(docs: DataFrame, signatures: DataFrame, threshold: float, trees:
         mixed = sizes.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("main_rows"), F.sum("n").alias("members")).where("main_rows < members")
         marked = materialize(named.join(mixed, "path"), "marked")
         few = F.col("members") - F.col("main_rows") <= OUTSIDERS
-        nodes.append(_units(marked.where(few & (F.col("main_rows") > OUTSIDERS))))
+        nodes.append(materialize(_units(marked.where(few & (F.col("main_rows") > OUTSIDERS)), joined, signatures, threshold), "units"))
         rest = marked.where(~(few & (F.col("main_rows") > OUTSIDERS)))
         if level >= LAST_LEVEL:
             nodes.append(_blocks(rest))
