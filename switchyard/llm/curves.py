@@ -7,6 +7,10 @@ places in it into numbers, and numbers into blocks of fixed size, so copies or
 dense regions never make a large group.  A query looks, on each curve, at the
 blocks that overlap a window around its own place; the distances are computed
 there on the original vectors, and the nearest of all windows are merged.
+
+Of more than ``k`` equal vectors only the smallest ids can be anyone's
+neighbours: they alone lie on the curves, and a query among such copies has
+them at distance zero without a search.
 """
 
 from __future__ import annotations
@@ -26,6 +30,11 @@ DIMENSIONS, BITS = 6, 8
 REACH = 0.08
 BLOCK = 2048
 SEED = 11
+#: Ways in which the rows of one vector are dealt, and groups of copies up to which they are broadcast.
+SALTS = 64
+BROADCAST_GROUPS = 100_000
+#: Pairs of a query and a row whose exact distances are taken at a time.
+EXACT_PAIRS = 1 << 17
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -110,14 +119,19 @@ def _window_neighbours(width: int, k: int):
             rank = rows.column("rank").to_numpy()
             rough = squares[None, :] - 2 * points @ near.T
             rough[(rank[None, :] < low[:, None]) | (rank[None, :] > high[:, None]) | (ids[None, :] == asked_ids[:, None])] = np.inf
-            # a few more than k by the quick formula, then exactly
-            take = min(len(ids), k + 8)
-            chosen = np.argpartition(rough, take - 1, axis=1)[:, :take]
-            rows_of, columns = np.repeat(np.arange(len(points)), take), chosen.ravel()
-            good = np.isfinite(rough[rows_of, columns])
-            rows_of, columns = rows_of[good], columns[good]
-            gaps = points[rows_of] - near[columns]
-            yield pa.RecordBatch.from_arrays([pa.array(asked_ids[rows_of]), pa.array(ids[columns]), pa.array(np.sqrt(np.einsum("ij,ij->i", gaps, gaps)))], ["query_id", "vec_id", "score"])
+            # all up to the k-th by the quick formula and what rounding may hide, then exactly: ties go to the smaller id
+            mark = np.partition(rough, min(len(ids), k) - 1, axis=1)[:, min(len(ids), k) - 1]
+            norms = np.sqrt(np.einsum("ij,ij->i", points, points))
+            mark = mark + 8 * (width + 4) * np.finfo(np.float64).eps * (norms + np.sqrt(squares.max())) ** 2
+            for row in range(0, len(points), step := max(1, EXACT_PAIRS // len(ids))):
+                piece = slice(row, row + step)
+                rows_of, columns = np.nonzero((rough[piece] <= mark[piece, None]) & np.isfinite(rough[piece]))
+                gaps = points[rows_of + row] - near[columns]
+                scores = np.sqrt(np.einsum("ij,ij->i", gaps, gaps))
+                order = np.lexsort((ids[columns], scores, rows_of))
+                rows_of, columns, scores = rows_of[order], columns[order], scores[order]
+                good = np.arange(len(rows_of)) - np.searchsorted(rows_of, rows_of) < k
+                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[rows_of[good] + row]), pa.array(ids[columns[good]]), pa.array(scores[good])], ["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -147,6 +161,25 @@ def usable(vector: str = "vector") -> F.Column:
     return F.col(vector).isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
+def _with_copies(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with ``copies``: the ``k + 1`` smallest ids of a vector that more than ``k`` rows have, else null."""
+    names = ["name", "other"]  # 128 bits of hash; zeros of either sign are one
+    named = rows.withColumns({"name": F.xxhash64("vector"), "other": F.xxhash64(F.lit(1), "vector")})
+    several = materialize(named.groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") > k).select(*names), "several")
+    groups = several.count()
+    if not groups:
+        return rows.withColumn("copies", F.lit(None).cast("array<long>"))
+
+    def sent(frame: DataFrame) -> DataFrame:
+        return F.broadcast(frame) if groups <= BROADCAST_GROUPS else frame
+
+    members = named.select("vec_id", *names).join(sent(several), names).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    for by in ([*names, "salt"], names):
+        members = members.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("nth") <= k + 1).drop("nth")
+    copies = materialize(members.groupBy(*names).agg(F.array_sort(F.collect_list("vec_id")).alias("copies")), "copies")
+    return named.join(sent(copies), names, "left").drop(*names)
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     queries: F.Column,
@@ -163,7 +196,7 @@ def nearest_neighbours(
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each row that ``queries`` selects.
 
     Nearness is the Euclidean distance, in double precision, on the original
-    vectors; ties go to the smaller id.  A query is never its own neighbour and
+    vectors; ties, however many, go to the smaller id.  A query is never its own neighbour and
     gets all candidates if there are fewer than ``k``.  Vectors that are null,
     zero, of another width than most or hold null or non-finite components
     take no part, nor do rows without an id; rows that repeat an id count once.
@@ -178,13 +211,20 @@ def nearest_neighbours(
     width = widths[0]["width"]
     rows = materialize(chosen.where(F.col("width") == width).drop("width").dropDuplicates(["vec_id"]), "vectors")
     total = rows.count()
+    marked = _with_copies(rows, k)
+    others = F.slice(F.filter("copies", lambda x: x != F.col("vec_id")), 1, k)
+    direct = marked.where(F.col("asked") & F.col("copies").isNotNull()).select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("at", "vec_id"))
+    direct = direct.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    # the other copies are nobody's neighbours
+    placeable = marked.where(F.col("copies").isNull() | F.array_contains("copies", F.col("vec_id")))
+    sought = marked.where(F.col("asked") & F.col("copies").isNull()).select("vec_id")
     moments = rows.select(F.posexplode("vector").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).collect()
     centre = np.zeros(width)
     for r in moments:
         centre[r["at"]] = r["m"]
     scale = float(np.sqrt(np.mean([r["v"] for r in moments]))) or 1.0
     # doubles suffice as four bytes on the way to the blocks if the vectors were floats, but exactness asks for all eight
-    keyed = rows.select("vec_id", "vector").mapInArrow(_key_batches(curves, width, scale, centre, dimensions, bits, seed), "curve int, key long, vec_id long, vector array<double>")
+    keyed = placeable.select("vec_id", "vector").mapInArrow(_key_batches(curves, width, scale, centre, dimensions, bits, seed), "curve int, key long, vec_id long, vector array<double>")
     parts = max(curves, -(-total * curves // 65536))
     ordered = keyed.repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
     placed = materialize(ordered.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "curves")
@@ -195,11 +235,12 @@ def nearest_neighbours(
     ranked = placed.join(F.broadcast(skips), ["curve", "part"]).withColumn("rank", F.col("nth") + F.col("skip")).drop("part", "nth", "skip", "key")
     span = max(k, int(np.ceil(reach * total)))
     block_rows = ranked.select("curve", F.floor(F.col("rank") / block).alias("block"), F.lit(False).alias("asked"), "vec_id", "vector", "rank", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
-    asked = ranked.join(rows.where("asked").select("vec_id"), "vec_id").withColumns({"low": F.greatest(F.col("rank") - span, F.lit(0)), "high": F.least(F.col("rank") + span, F.lit(total - 1))})
+    asked = ranked.join(sought, "vec_id").withColumns({"low": F.greatest(F.col("rank") - span, F.lit(0)), "high": F.least(F.col("rank") + span, F.lit(total - 1))})
     asked = asked.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block))))
     asked = asked.select("curve", "block", F.lit(True).alias("asked"), "vec_id", "vector", "rank", "low", "high")
     together = block_rows.unionByName(asked).repartition("curve", "block").sortWithinPartitions("curve", "block", F.desc("asked"))
     near = together.mapInArrow(_window_neighbours(width, k), "query_id long, vec_id long, score double")
     best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    searched = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return searched.unionByName(direct)

@@ -211,6 +211,35 @@ def test_nearest_neighbours(spark):
     assert nearest_neighbours(table.limit(0), F.col("vec_id") % 100 == 0).isEmpty()
 
 
+def _brute_neighbours(vectors: np.ndarray, queries: list[int], k: int = 10) -> dict[int, list[int]]:
+    exact, ids = vectors.astype(np.float64), np.arange(len(vectors))
+    return {q: [int(i) for i in np.lexsort((ids, np.sqrt(((exact - exact[q]) ** 2).sum(axis=1)))) if i != q][:k] for q in queries}
+
+
+def test_ties_of_neighbours_go_to_the_smaller_id(spark):
+    def found(vectors: np.ndarray, **settings) -> dict[int, list[int]]:
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+        got: dict[int, list[int]] = {}
+        for r in nearest_neighbours(table, F.col("vec_id") % 100 == 0, **settings).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        return got
+
+    rng = np.random.default_rng(14)
+    copies = rng.standard_normal((1500, 24)).astype(np.float32)
+    copies[100:800] = copies[100]  # more than a window and several blocks hold
+    got = found(copies, block=128)
+    assert {q: got[q] for q in range(100, 800, 100)} == _brute_neighbours(copies, list(range(100, 800, 100)))
+    # equally far rows that are no copies, twice each so that a query sees 96 ties, in one window
+    ties = (rng.integers(-50, 50, (600, 24)) * 4).astype(np.float32)
+    ties[300] = 1
+    for i in range(48):
+        step = np.ones(24)
+        step[i % 24] += 1 if i < 24 else -1
+        ties[599 - i], ties[299 - i] = step, step
+    ties[200:203] = ties[599]
+    assert found(ties, reach=1.0) == _brute_neighbours(ties, list(range(0, 600, 100)))
+
+
 def test_block_search_is_exact():
     rng = np.random.default_rng(11)
     examples = []
