@@ -14,6 +14,7 @@ itself, makes them probabilities.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -61,8 +62,8 @@ def _example_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in small_parts(batches):
         texts = batch.column(2).to_pylist()
         terms = [sorted({t for w in set(_words(x)) for t in terms_of(w)}) for x in texts]
-        keys = [int(s[0].astype(np.int64)) if len(s := shingle_set((x or "").encode())) else None for x in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.string())), pa.array(keys, pa.int64())], ["doc_id", "toxic", "terms", "key"])
+        keys = [hashlib.sha256(s.tobytes()).digest() if len(s := shingle_set((x or "").encode())) else None for x in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.string())), pa.array(keys, pa.binary())], ["doc_id", "toxic", "terms", "key"])
 
 
 def _count_batches(vocabulary):
@@ -201,7 +202,7 @@ def score_toxicity(
 
     ``labels`` has one or more rows an id with a 0/1 label; the largest counts
     and nulls don't.  At most ``max_examples`` labelled ids, by a hash of the
-    id, are learned from.  Texts that are null, empty or without a term of the
+    id, are learned from, all but copies of equal shingle sets and labels.  Texts that are null, empty or without a term of the
     vocabulary get the label's share among such examples; without any labels
     all scores are 0.  Repeated rows repeat their scores, a null id is scored
     too.  Other columns are not looked at.
@@ -213,10 +214,10 @@ def score_toxicity(
     sample = materialize(sample, "sample")
     # at most max_examples ids, two numbers each
     texts = chosen.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
-    examples = texts.mapInArrow(_example_batches, "doc_id long, toxic int, terms array<string>, key long")
+    examples = texts.mapInArrow(_example_batches, "doc_id long, toxic int, terms array<string>, key binary")
     examples = materialize(examples, "examples")
-    # of near copies, which share their least shingle, one is enough; examples without words all stay
-    single = examples.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").unionByName(examples.where("key is null").select("doc_id"))
+    # of copies, which have equal sets of shingles and one label, one is enough; examples without words all stay
+    single = examples.where("key is not null").groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id").unionByName(examples.where("key is null").select("doc_id"))
     single = materialize(examples.join(single, "doc_id", "left_semi"), "single")
     totals = single.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     n, p = float(totals["n"]), float(totals["p"])

@@ -284,6 +284,21 @@ def test_toxicity(spark):
     assert {r["score"] for r in score_toxicity(docs, known.limit(0)).collect()} == {0.0}
 
 
+def test_examples_that_share_a_passage_all_count(spark):
+    """A licence text in every row holds most rows' least shingle; only equal texts of one label are one example."""
+    rng = random.Random(15)
+    licence = " ".join(f"clause{i}" for i in range(300))
+    rows, labels = [], []
+    for i in range(160):
+        own = [f"word{rng.randrange(60)}" for _ in range(8)]
+        labels.append((i, int(i % 4 == 1)))
+        rows.append((i, " ".join([*own, *(["vilest"] if labels[-1][1] else []), licence])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in score_toxicity(docs, known).collect()}
+    assert got == dict(labels)
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline as cp
 
