@@ -31,8 +31,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]*)-----END \1-----")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}")
-_ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
+#: From the length of the shortest encoded base secret on: an assignment of 12 characters such as ``token=abc123``.
+_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
+_ANY_HEX = re.compile(r"[0-9A-Fa-f]{24,}")
 
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
@@ -173,7 +174,7 @@ def scan_text(text: bytes | None) -> list[tuple[str, int, int]]:
     low = text.lower()
     assigns, accesses = any(w in low for w in _WORDS), b"AKIA" in text
     hexes = b"x" * 24 in text.translate(_HEX_MARKS)
-    runs = b"x" * 32 in text.translate(_BASE64_MARKS)
+    runs = b"x" * 16 in text.translate(_BASE64_MARKS)
     pems, tokens = b"PRIVATE KEY-----" in text, b"eyJ" in text
     if not (assigns or accesses or hexes or runs or pems or tokens):
         return []

@@ -93,6 +93,18 @@ def test_secret_kinds():
     assert sc.is_der_private_key(RSA) and not sc.is_der_private_key(RSA + b"\0")
 
 
+@pytest.mark.parametrize("secret", [b"token=abc123", b"password=hunter2", b"AKIA" + b"A1" * 8])
+def test_short_encoded_secrets(spark, secret):
+    for coded in (base64.b64encode(secret).decode(), secret.hex().upper()):
+        text = f"é see {coded} there"
+        # a run of digits within upper-case hexadecimal is a base kind of its own
+        assert [text[s:e] for k, s, e in sc.scan_text(text.encode()) if k == "encoded"] == [coded]
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        assert sc.redact_secrets(docs).first()["text"] == "é see <secret> there"
+    for harmless in (b"token = abcde", b"just some words", b"AKIA" + b"A1" * 7 + b"A"):
+        assert "encoded" not in {k for coded in (base64.b64encode(harmless), harmless.hex().upper().encode()) for k, *_ in sc.scan_text(coded)}
+
+
 def _base_spans(text: str) -> list[tuple[str, int, int]]:
     """The three base patterns as agreed on, one after the other."""
     found = []
