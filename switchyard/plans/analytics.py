@@ -305,8 +305,17 @@ f as (
 )
 select stream, n, route_id, round(m, 6) as multiplier from f""")
 def budget_pacer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth stream has a budget of its own."""
-    rows = views.routes(spark, sf_dir).where("stream % 10 = 0")
+    """The tenth of the streams that the SQL selects; ``budget_pacer_streams`` has them all."""
+    return _paced(views.routes(spark, sf_dir).where("stream % 10 = 0"))
+
+
+@_register("budget_pacer_streams")
+def budget_pacer_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stream has a budget of its own."""
+    return _paced(views.routes(spark, sf_dir))
+
+
+def _paced(rows: DataFrame) -> DataFrame:
     return rp.budget_pacer(rows, "stream", ["event_time", "route_id"], "k", 40.0).select("stream", "n", "route_id", F.round("multiplier", 6).alias("multiplier"))
 
 

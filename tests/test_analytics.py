@@ -49,6 +49,21 @@ def test_pacer_and_bandits(spark):
         assert len(got) == 30 and all(r["used"] == (r["chosen"] == r["model_id"]) for r in got)
 
 
+def test_every_stream_is_paced(spark):
+    from switchyard.plans import registry, views
+
+    folder = "/root/testdata/sf0.001"
+    streams: dict[int, list] = {}
+    for r in views.routes(spark, folder).orderBy("stream", "event_time", "route_id").collect():
+        streams.setdefault(r["stream"], []).append((r["route_id"], float(r["k"])))
+    got = {(r["stream"], r["n"]): (r["route_id"], r["multiplier"]) for r in registry.queries()["budget_pacer_streams"](spark, folder).collect()}
+    want = {(s, n): (held[n][0], m) for s, held in streams.items() for n, m in enumerate(rp.pacer_frame(np.array([k for _, k in held]), 40.0, 0.1, 10.0))}
+    assert got.keys() == want.keys() and any(s % 10 for s, _ in got)
+    assert all(got[at][0] == want[at][0] and got[at][1] == pytest.approx(want[at][1], abs=1e-6) for at in want)
+    tenth = registry.queries()["budget_pacer"](spark, folder).collect()
+    assert {(r["stream"], r["n"]): (r["route_id"], r["multiplier"]) for r in tenth} == {at: x for at, x in got.items() if at[0] % 10 == 0}
+
+
 def test_streaming_route_log(spark, tmp_path):
     from switchyard.streaming.routes import deduplicated, model_windows
 
