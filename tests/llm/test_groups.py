@@ -299,6 +299,16 @@ def test_examples_that_share_a_passage_all_count(spark):
     assert got == dict(labels)
 
 
+def test_a_rare_word_is_a_term_in_a_large_sample(spark):
+    rng = random.Random(16)
+    rows = [(i, f"word{rng.randrange(40)} other{i}" + (" vilest" if i % 10 == 0 else "") + (" grobber" if i < 3 else "")) for i in range(5000)]
+    labels = [(i, int(i % 10 == 0 or i < 3)) for i, _ in rows]
+    rows = [(i, t.replace(" vilest", "") if i < 3 else t) for i, t in rows] + [(9000, "grobber")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).where("doc_id = 9000").first()
+    assert sorted(e["doc_id"] for e in got["evidence"]) == [0, 1, 2]
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline as cp
 
