@@ -6,12 +6,14 @@ of their input, so that each works on what the one before has kept.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.llm.exact_dedup import exact_duplicates
-from switchyard.llm.keep import one_row_each, without_ids
+from switchyard.llm.keep import without_ids, without_rows
 from switchyard.llm.near_dedup import near_duplicates
 from switchyard.llm.packing import pack_documents
 from switchyard.llm.secrets import redact_secrets
@@ -25,15 +27,25 @@ ORACLE_SQL = None
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples don't vote down."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
-    rejected = score_toxicity(docs, labels).where("predicted = 1").select("doc_id")
-    return without_ids(docs, rejected)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rejected = score_toxicity(docs.withColumn("_digest", digest), labels, digest_col="_digest").where("predicted = 1")
+    return without_rows(docs, rejected.select("doc_id", "digest"), digest)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the largest id, of each group of equal texts."""
-    groups = materialize(exact_duplicates(docs), "exact")
-    repeated = groups.where("kept and group_size > 1").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    return one_row_each(without_ids(docs, groups.where("not kept").select("doc_id")), repeated)
+    groups = materialize(exact_duplicates(docs).withColumn("digest", F.lower(F.hex("digest"))), "exact")
+    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase), 256)
+    kept = without_rows(docs, groups.where("not kept").select("doc_id", "digest"), digest)
+    # rows that repeat an id, or have none, and the text are all marked as kept
+    several = groups.where("kept and group_size > 1").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "digest")
+    several = materialize(several, "repeated")
+    if several.isEmpty():
+        return kept
+    rest = without_rows(kept, several, digest)
+    keyed = kept.withColumn("_of", digest)
+    again = keyed.join(several.toDF("_id", "_digest"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")), "left_semi")
+    return rest.unionByName(again.dropDuplicates(["doc_id", "_of"]).select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

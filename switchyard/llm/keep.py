@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from switchyard.plans.scratch import materialize
@@ -28,3 +28,9 @@ def one_row_each(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_c
         return docs
     rest = without_ids(docs, several, id_col)
     return rest.unionByName(docs.join(_sent(several), id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col]))
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, digest: Column, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id, null or not, and ``digest`` are not together among ``rows``, ``(id, digest)``."""
+    gone = materialize(rows.toDF("_id", "_digest").distinct(), "gone_rows")
+    return docs.withColumn("_of", digest).join(_sent(gone), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")), "left_anti").select(*docs.columns)

@@ -79,8 +79,8 @@ def _count_batches(vocabulary):
                 found = [Counter(chain.from_iterable(filter(None, v))) for v in memory.look_up([_words(t) for t in part.column(1).to_pylist()])]
                 ordered = [sorted(c.items()) for c in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([[t for t, _ in c] for c in ordered], pa.list_(pa.int32())), pa.array([[n for _, n in c] for c in ordered], pa.list_(pa.int32()))],
-                    ["doc_id", "terms", "counts"],
+                    [part.column(0), pa.array([[t for t, _ in c] for c in ordered], pa.list_(pa.int32())), pa.array([[n for _, n in c] for c in ordered], pa.list_(pa.int32())), *part.columns[2:]],
+                    ["doc_id", "terms", "counts", *part.schema.names[2:]],
                 )
 
     return run
@@ -182,8 +182,8 @@ def _score_batches(index):
             near = [[{"doc_id": i, "similarity": c, "toxic": y} for c, i, y in found[:EVIDENCE]] for _, found in out]
             scores = [s for s, _ in out]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(near, evidence)],
-                ["doc_id", "score", "predicted", "evidence"],
+                [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(near, evidence), *batch.columns[3:]],
+                ["doc_id", "score", "predicted", "evidence", *batch.schema.names[3:]],
             )
 
     return run
@@ -195,7 +195,7 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, digest_col: str | None = None
 ) -> DataFrame:
     """``(doc_id, score, predicted, evidence)`` for every row of ``docs``; ``evidence`` holds the nearest examples.
 
@@ -204,10 +204,13 @@ def score_toxicity(
     id, are learned from, all but copies of equal shingle sets and labels.  Texts that are null, empty or without a term of the
     vocabulary get the label's share among such examples; without any labels
     all scores are 0.  Repeated rows repeat their scores, a null id is scored
-    too.  Other columns are not looked at.
+    too.  Other columns are not looked at, but a ``digest_col`` of strings is
+    handed on as ``digest``.
     """
     spark = docs.sparkSession
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    carried = [F.col(digest_col).alias("digest")] if digest_col else []
+    more = ", digest string" if digest_col else ""
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     sample = materialize(sample, "sample")
@@ -227,7 +230,7 @@ def score_toxicity(
     strong = by_term.withColumn("chi2", chi2).where((F.col("c") >= MIN_SUPPORT) & (F.col("chi2") >= MIN_CHI2)).orderBy(F.desc("chi2"), "term").limit(max_terms)
     vocabulary = [r["term"] for r in strong.select("term").collect()]
 
-    counted = materialize(chosen.mapInArrow(_count_batches(spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})), "doc_id long, terms array<int>, counts array<int>"), "counted")
+    counted = materialize(chosen.mapInArrow(_count_batches(spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})), "doc_id long, terms array<int>, counts array<int>" + more), "counted")
     frequency = np.zeros(len(vocabulary))
     for row in counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():
         frequency[row["term"]] = row["n"]
@@ -236,4 +239,4 @@ def score_toxicity(
     learned = sorted((r["doc_id"], r["toxic"], r["terms"], r["counts"]) for r in held.collect())
     index = ExampleIndex(learned, idf)
     index.calibrate(learned)
-    return counted.mapInArrow(_score_batches(spark.sparkContext.broadcast(index)), _OUT)
+    return counted.mapInArrow(_score_batches(spark.sparkContext.broadcast(index)), _OUT + more)

@@ -323,3 +323,16 @@ def test_pipeline_on_the_smallest_tables(spark):
     assert cp.exact_dedup(spark, twice, folder).count() == docs.limit(20).select(F.lower("text")).distinct().count()
     masked = cp.secret_scan(spark, docs, folder)
     assert masked.count() == docs.count() and masked.columns == docs.columns
+
+
+def test_pipeline_judges_rows_without_or_with_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows = [(i, f"word{i % 40} other{i}" + (" vilest" if i % 4 == 0 else "")) for i in range(200)]
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    odd = [(None, "vilest"), (None, "Clean words"), (None, "clean words"), (4, "clean row"), (500, "clean row"), (501, "clean row")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string")
+    left = cp.toxicity(spark, docs, str(tmp_path))
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([x for x in rows + odd if "vilest" not in x[1]])
+    got = Counter(r["text"].lower() for r in cp.exact_dedup(spark, spark.createDataFrame(odd, docs.schema), "").collect())
+    assert got == Counter({"vilest": 1, "clean words": 1, "clean row": 1})
