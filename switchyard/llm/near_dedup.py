@@ -7,13 +7,17 @@ coordinates of the signature by a hash of its own path, 4/3 of them on average
 the child of the value that it has there: a pair at the similarity sought
 follows a critical branching process, unlike pairs part quickly.  Nodes of at
 most ``node_limit`` documents are compared exhaustively, larger ones branch on.
-Trees are independent and repeated; by the branching process, 16 of them miss a
-pair at 0.75 with a probability of 4e-7 where nodes are small at the first level
-that is looked at (3), of 3e-5 at level 5, 3e-4 at level 7 and 3e-3 at level 11.
+Trees are repeated.  They read one signature of 128 minwise values, so that a
+pair's misses are not independent: averaged over how much of the signature a
+pair at 0.75 agrees in, 16 trees miss it with a probability of 5e-6 where nodes
+are small at the first level that is looked at (3), of 2e-4 at level 5, 2e-3 at
+level 7 and 1.4e-2 at level 11; only pairs within large groups of texts that
+resemble each other without a link go so deep.
 
 Documents compute the first levels by themselves, without a shuffle.  What then
-shares a node is compared by signature; pairs that may reach the threshold are
-confirmed on full shingle sets.  Copies with equal sets are one document in all
+shares a node is compared by a sketch of 512 bytes, whose five standard
+deviations decide; pairs that may reach the threshold are confirmed on full
+shingle sets.  Copies with equal sets are one document in all
 of this.
 
 A group of near copies keeps its nodes large however long they branch.  So the
@@ -43,40 +47,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from switchyard.llm.memo import small_parts
-from switchyard.llm.shingles import Minwise, mix, shingle_set
+from switchyard.llm.shingles import Minwise, Sketch, mix, shingle_set, sketch_similarity
 from switchyard.operators.graph import connected_components
-from switchyard.plans.scratch import materialize
+from switchyard.plans.scratch import materialize, release, scratch_scope
 
-SIGNATURE = 128
+#: Minwise values that trees branch on, and ranges of the sketch that members of a node are compared by.
+SIGNATURE, SKETCH = 128, 512
 TREES = 16
 FIRST_LEVELS = 3
 #: Levels added in each further round, and the last level.
 STEP, LAST_LEVEL = 2, 11
+#: Trees in whose nodes each row's likely partner is looked for first.
+LIKELY_TREES = 4
 NODE_LIMIT = 64
-#: Signature agreement from which a pair is confirmed on full sets: five standard deviations under 0.75.
+#: What a signature's agreement may be under the similarity: five standard deviations at 0.75.
 MARGIN = 0.20
+#: Pairs of a node whose sketches are compared at a time.
+COMPARED = 8192
 #: Rows outside a large node's main component up to which they are compared with all of it at once.
 OUTSIDERS = 256
 #: Rows of the main component in a unit, and of a block of a node that is large at the last level.
 UNIT, BLOCK = 512, 256
 #: More ids than this are not broadcast but joined by shuffling.
 BROADCAST_IDS = 500_000
+#: More bytes of sets than this are not broadcast either.
+BROADCAST_BYTES = 12_000_000
 
-_SCHEMA = "doc_id long, n_shingles long, set_id binary, signature binary"
+_SCHEMA = "doc_id long, n_shingles long, set_id binary, signature binary, sketch binary"
 
 
 def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    minwise = Minwise(SIGNATURE)
+    minwise, sketch = Minwise(SIGNATURE), Sketch(SKETCH)
     for batch in small_parts(batches):
-        sizes, names, signatures = [], [], []
+        sizes, names, signatures, sketches = [], [], [], []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             hashes = shingle_set(text)
             sizes.append(len(hashes))
             names.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
             signatures.append(minwise(hashes).tobytes() if len(hashes) else None)
+            sketches.append(sketch(hashes).tobytes() if len(hashes) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(signatures, pa.binary())],
-            ["doc_id", "n_shingles", "set_id", "signature"],
+            [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (names, signatures, sketches))],
+            ["doc_id", "n_shingles", "set_id", "signature", "sketch"],
         )
 
 
@@ -90,7 +102,8 @@ def _children(paths: np.ndarray, signatures: np.ndarray, rows: np.ndarray) -> tu
             pick = mix(chosen + np.uint64(0x9E3779B97F4A7C15) * np.uint64(branch + 1))
             coordinate = (pick % np.uint64(SIGNATURE)).astype(np.int64)
             value = signatures[at, coordinate].astype(np.uint64)
-            out_paths.append(mix(pick ^ mix(value + np.uint64(1))))
+            below = mix(pick ^ mix(value + np.uint64(1)))
+            out_paths.append((below & ~np.uint64(1)) | (chosen & np.uint64(1)))  # the last bit tells the first trees
             out_rows.append(at)
     return np.concatenate(out_paths), np.concatenate(out_rows)
 
@@ -102,6 +115,7 @@ def _signature_matrix(column: pa.Array) -> np.ndarray:
 def _first_paths(trees: int, levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        roots = (roots & ~np.uint64(1)) | (np.arange(trees) < LIKELY_TREES).astype(np.uint64)
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 batch = whole.slice(start, 2048)
@@ -130,12 +144,13 @@ def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left == right).mean(axis=1)
 
 
-def _node_pairs(least: float, likely: float | None):
-    """Pairs of different labels within nodes, whose rows come sorted by path, each with a label.
+def _node_pairs(threshold: float, likely: float | None):
+    """Pairs of different labels within units, whose rows come sorted by path, each with a label.
 
     With ``likely``, each row gets only its first partner of at least that
-    agreement, which holds groups of copies together; without, all pairs that
-    agree enough.
+    estimated similarity, which holds groups of copies together; without, all
+    pairs that may reach the threshold, each from the least of the nodes that
+    hold both.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,26 +169,35 @@ def _node_pairs(least: float, likely: float | None):
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table.num_rows < 2:
             return
-        paths, ids = table.column("path").to_numpy(), table.column("doc_id").to_numpy()
-        labels = table.column("label").to_numpy()
-        signatures = _signature_matrix(table.column("signature").combine_chunks())
-        partner, strength = np.full(len(paths), -1), np.zeros(len(paths))
+        paths, ids, labels, sizes = (table.column(c).to_numpy() for c in ("path", "doc_id", "label", "n_shingles"))
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(paths), SKETCH)
+        nodes, units, homes = (table.column(c).to_numpy() for c in ("node", "unit", "home"))
+        partner = np.full(len(paths), -1)
+        held_by: dict[int, frozenset] = {}
         for step in range(1, len(paths)):
             same = np.flatnonzero(paths[step:] == paths[:-step])
             if not len(same):
                 break
-            same = same[labels[same] != labels[same + step]]
-            agreement = _agreement(signatures[same], signatures[same + step])
-            good = agreement >= (least if likely is None else likely)
-            if likely is not None:  # rows rise by id within a node, so the farthest partner is the first
-                partner[same[good] + step], strength[same[good] + step] = same[good], agreement[good]
-            elif good.any():
-                a, b = ids[same[good]], ids[same[good] + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agreement[good])], ["a", "b", "agreement"])
+            same = same[(labels[same] != labels[same + step]) & ((homes[same] != homes[same + step]) | (homes[same] == units[same]))]
+            for low in range(0, len(same), COMPARED):
+                one = same[low : low + COMPARED]
+                other = one + step
+                estimate, may = sketch_similarity(sketches[one], sketches[other], sizes[one], sizes[other], threshold)
+                if likely is not None:  # rows rise by id within a node, so the farthest partner is the first
+                    good = estimate >= likely
+                    partner[other[good]] = one[good]
+                elif may.any():
+                    one, other = one[may], other[may]
+                    for row in {*one.tolist(), *other.tolist()} - held_by.keys():
+                        held_by[row] = frozenset(table["nodes"][row].values.to_pylist())
+                    least = [min(held_by[i] & held_by[j]) == node for i, j, node in zip(one.tolist(), other.tolist(), nodes[one].tolist(), strict=True)]
+                    yield found(ids[one[least]], ids[other[least]])
         held = np.flatnonzero(partner >= 0)
         if len(held):
-            a, b = ids[partner[held]], ids[held]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(strength[held])], ["a", "b", "agreement"])
+            yield found(ids[partner[held]], ids[held])
+
+    def found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
@@ -225,8 +249,13 @@ def _group_links(large: DataFrame, signatures: DataFrame, threshold: float) -> D
     return best.select(F.col("low").alias("a"), "b").union(best.select("near", "b")).distinct()
 
 
+def _below(*parts) -> F.Column:
+    """The path of a part of a node, which keeps the last bit."""
+    return F.xxhash64("path", *parts).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("path").bitwiseAND(F.lit(1))).alias("path")
+
+
 def _units(marked: DataFrame, joined: DataFrame | None, signatures: DataFrame, threshold: float) -> DataFrame:
-    """``(path, doc_id)`` of bounded units of nodes: all outsiders with a share of the main component in each.
+    """Bounded units of nodes: all outsiders, at home in the first, with a share of the main component in each.
 
     An outsider that agrees with the component's head by x can only agree enough
     with rows that agree with the head by at most x + 1 - (threshold - MARGIN).
@@ -245,39 +274,60 @@ def _units(marked: DataFrame, joined: DataFrame | None, signatures: DataFrame, t
     # outsiders of a node meet each other once, and again in each share
     parts = outside.join(sizes, "path", "left").select("path", "doc_id", F.coalesce("parts", F.lit(1)).alias("parts"))
     every = parts.select("path", "doc_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("unit"))
-    return dealt.unionByName(every).select(F.xxhash64("path", "unit").alias("path"), "doc_id")
+    return dealt.withColumn("home", F.col("unit")).unionByName(every.withColumn("home", F.lit(0))).select(_below("unit"), "doc_id", F.col("path").alias("node"), "unit", "home")
 
 
 def _blocks(marked: DataFrame) -> DataFrame:
-    """``(path, doc_id)`` of units that hold two blocks of a node each, for all pairs of its blocks."""
+    """Units that hold two blocks of a node each, for all pairs of its blocks; a block is at home in the unit of itself."""
     parts = marked.withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
-    mine = parts.withColumn("mine", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
-    dealt = mine.select("path", "doc_id", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return dealt.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"), "doc_id")
+    home = parts.withColumn("home", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    dealt = home.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    unit = F.when(F.col("home") == F.col("other"), F.col("home")).otherwise(F.lit(-1)).alias("unit")
+    return dealt.select(_below(F.least("home", "other"), F.greatest("home", "other")), "doc_id", F.col("path").alias("node"), unit, "home")
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """Small nodes as units of themselves."""
+    return rows.select("path", "doc_id", F.col("path").alias("node"), F.lit(0).alias("unit"), F.lit(0).alias("home"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """``(path, doc_id, members)`` of the nodes of several documents; ``rows`` is written first, as it is read twice."""
+    written = materialize(rows, "paths")
+    tallies = written.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialize(written.join(tallies, "path"), "nodes")
+    release(written)
+    return shared
 
 
-def tree_nodes(docs: DataFrame, signatures: DataFrame, threshold: float, trees: int, node_limit: int) -> tuple[DataFrame, list[DataFrame]]:
-    """``(path, doc_id)`` of all nodes to be compared, and tables of the links ``(a, b)`` confirmed on the way."""
+def tree_nodes(shared: DataFrame, sets: DataFrame, signatures: DataFrame, threshold: float, node_limit: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Units ``(path, doc_id, node, unit, home)`` to be compared, and tables of the links ``(a, b)`` confirmed on the way.
+
+    Rows of a unit that have one home there meet in other units too and are
+    compared in that of their home.  ``shared`` has the nodes of several documents at the first level that is looked at.
+    """
     nodes: list[DataFrame] = []
     links: list[DataFrame] = []
     joined: DataFrame | None = None
-    rows = signatures.mapInArrow(_first_paths(trees, FIRST_LEVELS), "path long, doc_id long")
     level = FIRST_LEVELS
     while True:
-        tallies = rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
-        shared = materialize(rows.join(tallies, "path"), "nodes")
-        nodes.append(shared.where(F.col("members") <= node_limit).select("path", "doc_id"))
+        nodes.append(_whole(shared.where(F.col("members") <= node_limit)))
         large = shared.where(F.col("members") > node_limit).select("path", "doc_id")
         if large.isEmpty():
             break
-        found = confirmed_links(docs, materialize(_group_links(_labelled(large, joined), signatures, threshold), "likely"), threshold)
+        likely = materialize(_group_links(_labelled(large, joined), signatures, threshold), "likely")
+        found = confirmed_links(sets, likely, threshold)
+        release(likely)
         if not found.isEmpty():
             links.append(found)
-            joined = materialize(connected_components(reduce(DataFrame.unionByName, links), "a", "b"), "joined")
+            if joined is not None:
+                release(joined)
+            joined = _components(links)
         named = materialize(_labelled(large, joined), "named")
         sizes = named.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path")
         mixed = sizes.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("main_rows"), F.sum("n").alias("members")).where("main_rows < members")
         marked = materialize(named.join(mixed, "path"), "marked")
+        release(named)
         few = F.col("members") - F.col("main_rows") <= OUTSIDERS
         nodes.append(materialize(_units(marked.where(few & (F.col("main_rows") > OUTSIDERS)), joined, signatures, threshold), "units"))
         rest = marked.where(~(few & (F.col("main_rows") > OUTSIDERS)))
@@ -285,16 +335,28 @@ def tree_nodes(docs: DataFrame, signatures: DataFrame, threshold: float, trees:
             nodes.append(_blocks(rest))
             break
         down = rest.join(signatures.select("doc_id", "signature"), "doc_id").select("path", "doc_id", "signature")
-        rows = down.mapInArrow(_next_paths(STEP), "path long, doc_id long")
+        shared = _shared(down.mapInArrow(_next_paths(STEP), "path long, doc_id long"))
+        release(marked)
         level += STEP
     return reduce(DataFrame.unionByName, nodes), links
 
 
-def node_pairs(nodes: DataFrame, signatures: DataFrame, least: float, likely: float | None) -> DataFrame:
-    """Distinct ``(a, b)`` of different labels from exhaustive comparison of nodes; ``nodes`` has a ``label`` for each row."""
-    rows = nodes.join(signatures.select("doc_id", "signature"), "doc_id").select("path", "doc_id", "label", "signature")
-    ordered = rows.repartition("path").sortWithinPartitions("path", "doc_id")
-    return ordered.mapInArrow(_node_pairs(least, likely), _PAIRS).select("a", "b").distinct()
+def _components(links: list[DataFrame]) -> DataFrame:
+    """``(id, component)`` of the links so far, written."""
+    with scratch_scope() as kept:
+        joined = materialize(connected_components(reduce(DataFrame.unionByName, links), "a", "b"), "joined")
+        kept.append(joined)
+    return joined
+
+
+def node_pairs(units: DataFrame, signatures: DataFrame, threshold: float, likely: float | None) -> DataFrame:
+    """Distinct ``(a, b)`` of different labels from exhaustive comparison of units; ``units`` has a ``label`` for each row."""
+    # a document is in few nodes, as trees and levels are
+    nodes = units.groupBy("doc_id").agg(F.collect_set("node").alias("nodes"))
+    rows = units.join(nodes, "doc_id").join(signatures.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    columns = ["path", "doc_id", "label", "node", "unit", "home", "n_shingles", "sketch", "nodes"]
+    ordered = rows.select(*columns).repartition("path").sortWithinPartitions("path", "doc_id")
+    return ordered.mapInArrow(_node_pairs(threshold, likely), "a long, b long").distinct()
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,14 +384,19 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if known <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
-def confirmed_links(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets reach the threshold."""
+def confirmed_links(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)``, read from a table, whose full shingle sets reach the threshold."""
     ends = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends")
-    sets = _only(docs, ends).mapInArrow(_set_batches, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
-    sets = materialize(sets, "sets")
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    used = materialize(_only(sets, ends), "used")
+    # groups that are dense have few sets and many pairs, so that it is the sets that travel, once
+    small = (used.agg(F.sum(F.length("shingles"))).first()[0] or 0) <= BROADCAST_BYTES
+    left, right = (used.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    if small:
+        left, right = F.broadcast(left), F.broadcast(right)
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return materialize(joined.mapInArrow(_confirm(round(100 * threshold)), "a long, b long"), "links")
+    found = materialize(joined.mapInArrow(_confirm(round(100 * threshold)), "a long, b long"), "links")
+    release(ends, used)
+    return found
 
 
 def near_duplicates(
@@ -347,36 +414,42 @@ def near_duplicates(
     result.  Other columns are not looked at.  An empty table gives an empty one.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = materialize(chosen.mapInArrow(_signature_batches, _SCHEMA), "signatures")
-    linkable = described.where("doc_id is not null and set_id is not null")
-    classes = linkable.groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
-    classed = materialize(linkable.select("doc_id", "set_id").distinct().join(classes, "set_id").select("doc_id", "class_id"), "classes")
-    heads = classed.where("doc_id = class_id").select("doc_id")
-    signatures = materialize(linkable.select("doc_id", "signature").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads")
-
-    least = threshold - MARGIN
-    nodes, found = tree_nodes(chosen, signatures, threshold, trees, node_limit)
-    links = reduce(DataFrame.unionByName, found, docs.sparkSession.createDataFrame([], "a long, b long"))
-
-    def mixed(links: DataFrame) -> DataFrame:
-        """The nodes of more than one component, whose rows are labelled by it."""
-        joined = materialize(connected_components(links, "a", "b"), "joined")
-        labelled = materialize(_labelled(nodes, joined), "labelled")
-        paths = labelled.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("path")
-        return labelled.join(paths, "path", "left_semi")
-
-    # first a likely partner for each row of a node: copies come together by few proofs
-    near = node_pairs(mixed(links), signatures, least, threshold + 0.05)
-    first = materialize(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = materialize(links.unionByName(confirmed_links(chosen, first, threshold)), "links")
-    # then every pair of a node that is still apart
-    apart = node_pairs(mixed(links), signatures, least, None)
-    links = links.unionByName(confirmed_links(chosen, materialize(apart, "apart"), threshold))
-    components = connected_components(links, "a", "b")
-
+    with scratch_scope() as kept:
+        described = materialize(chosen.mapInArrow(_signature_batches, _SCHEMA), "signatures")
+        linkable = described.where("doc_id is not null and set_id is not null")
+        classes = linkable.groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
+        classed = materialize(linkable.select("doc_id", "set_id").distinct().join(classes, "set_id").select("doc_id", "class_id"), "classes")
+        heads = classed.where("doc_id = class_id").select("doc_id")
+        signatures = materialize(linkable.select("doc_id", "n_shingles", "signature", "sketch").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads")
+        components = _linked(chosen, signatures, threshold, trees, node_limit)
+        sizes = materialize(described.select("doc_id", "n_shingles"), "sizes")
+        kept += [sizes, classed, components]
     by_class = classed.join(components.withColumnRenamed("id", "class_id"), "class_id", "left")
     by_doc = by_class.select("doc_id", F.coalesce("component", "class_id").alias("component"))
-    out = described.select("doc_id", "n_shingles").join(by_doc, "doc_id", "left")
+    out = sizes.join(by_doc, "doc_id", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("component", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept")
     )
+
+
+def _linked(chosen: DataFrame, signatures: DataFrame, threshold: float, trees: int, node_limit: int) -> DataFrame:
+    """``(id, component)`` of the documents with a link, written."""
+    shared = _shared(signatures.mapInArrow(_first_paths(trees, FIRST_LEVELS), "path long, doc_id long"))
+    meeting = materialize(shared.select("doc_id").distinct(), "meeting")
+    # only documents that meet another one somewhere need their sets
+    sets = materialize(_only(chosen, meeting).mapInArrow(_set_batches, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    nodes, links = tree_nodes(shared, sets, signatures, threshold, node_limit)
+
+    def mixed(chosen_nodes: DataFrame) -> DataFrame:
+        """The nodes of more than one component, whose rows are labelled by it."""
+        labelled = materialize(_labelled(chosen_nodes, _components(links) if links else None), "labelled")
+        paths = labelled.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("path")
+        return labelled.join(paths, "path", "left_semi")
+
+    # first a likely partner for each row of the first trees' nodes: copies come together by few proofs
+    near = node_pairs(mixed(nodes.where(F.col("path").bitwiseAND(F.lit(1)) == 1)), signatures, threshold, threshold + 0.05)
+    links.append(confirmed_links(sets, materialize(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first"), threshold))
+    # then every pair of a node that is still apart
+    apart = node_pairs(mixed(nodes), signatures, threshold, None)
+    links.append(confirmed_links(sets, materialize(apart, "apart"), threshold))
+    return _components(links)

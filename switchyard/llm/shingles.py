@@ -3,13 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-#: Words are runs of bytes other than these; the ASCII bytes 0x20 and 0x09-0x0D.
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _MULTIPLIERS = np.array([pow(0xC2B2AE3D27D4EB4F, 2 * j + 1, 1 << 64) for j in range(1, 65)], np.uint64)
 
 
@@ -21,38 +16,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse, modulo 2**64, as many as were needed so far."""
-
-    def __init__(self):
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE, np.uint64)]), dtype=np.uint64)
-                self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _INVERSE, np.uint64)]), dtype=np.uint64)
-        return self.up, self.down
-
-
-_powers = _Powers()
-
-
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text whose A-Z are lower-cased first, by one running polynomial."""
-    raw = np.frombuffer(text.lower(), np.uint8)
-    word = ~_SPACE[raw]
-    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers.to(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash (XXH3) of each word of a text whose A-Z are lower-cased first.
+
+    Words are runs of bytes other than 0x20 and 0x09 to 0x0D, where ``split`` cuts.
+    """
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, text.lower().split())), np.uint64)
 
 
 def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -92,3 +61,35 @@ class Minwise:
         if not filled.all():
             first = first[self.probes[np.arange(self.size), filled[self.probes].argmax(axis=1)]]
         return (mix(hashes[first]) >> np.uint64(48)).astype(np.uint16)
+
+
+class Sketch:
+    """One byte for each of ``size`` ranges of hash values: drawn from a set's least hash there, or 0 where it has none."""
+
+    def __init__(self, size: int = 512):
+        self.size = size
+        self.edges = np.arange(1, size, dtype=np.uint64) << np.uint64(64 - (size - 1).bit_length())
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        first = np.concatenate([[0], np.searchsorted(hashes, self.edges)])
+        filled = np.diff(first, append=len(hashes)) > 0
+        out = np.zeros(self.size, np.uint8)
+        out[filled] = 1 + mix(hashes[first[filled]]) % np.uint64(255)
+        return out
+
+
+def sketch_similarity(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated Jaccard similarities of sketched sets of known sizes, row by row, and whether they may reach ``threshold``.
+
+    Of the union of two sets at the threshold, the ranges that are not empty
+    show one element each, a sample without replacement; five standard
+    deviations of its share are allowed for.  Equal bytes of unlike elements
+    only add to it.  The ratio of the sizes is a bound without error.
+    """
+    shown = np.count_nonzero(left | right, axis=1)
+    equal = np.count_nonzero((left == right) & (left > 0), axis=1)
+    estimate = equal / np.maximum(1, shown)
+    union = (n_left + n_right) / (1 + threshold)
+    deviation = np.sqrt(threshold * (1 - threshold) / np.maximum(1, shown) * np.clip(1 - shown / np.maximum(1, union), 0.05, 1))
+    sizes = np.minimum(n_left, n_right) >= threshold * np.maximum(n_left, n_right) - 1e-9
+    return estimate, sizes & (estimate >= threshold - 5 * deviation)
