@@ -45,6 +45,11 @@ class WordMemory:
         self.half = max(1, limit // 2)
         self.layer = _Layer({})
 
+    def peek(self, word: str):
+        """The value of a word if it is remembered, else None."""
+        value = self.layer.get(word)
+        return self.layer.older.get(word) if value is None else value
+
     def look_up(self, texts: list[list[str]]) -> list[list]:
         """The values of the words of each text."""
         layer = self.layer

@@ -22,7 +22,10 @@ from switchyard.llm.memo import WordMemory
 #: Words that a worker remembers.
 MAX_WORDS = 500_000
 #: Texts whose words are looked up together.
-GROUP = 256
+GROUP = 512
+#: Runs of marks at the end of words that are remembered; an apostrophe may join what follows it, so it is none.
+MAX_MARKS = 10_000
+MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 
 
 class WordEncoder:
@@ -48,7 +51,8 @@ class WordEncoder:
         for piece, number in self.tokenizer.get_vocab().items():
             self.ends[number] = piece.endswith("</w>")
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.marks = {mark: self._whole(mark) for mark in ",."}
+        self.byte_space = self.byte_letters[0x20]
+        self.marks: dict[str, bytes] = {}
         self.memory = WordMemory(self._learn, max_words)
 
     def _whole(self, text: str) -> bytes:
@@ -56,33 +60,46 @@ class WordEncoder:
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {"": b""}
-        tails, plain, mixed = [], set(), []
+        tails, plain, mixed = [], [], []
         for w in words:
             if w.isalpha():
-                plain.add(w)
-            elif w and w[-1] in ",." and w[:-1].isalpha() and _latin(w):  # letters, then one mark: two runs to the tokenizer
-                tails.append(w)
-                plain.add(w[:-1])
+                plain.append(w)
+            elif (stem := w.rstrip(MARKS)) != w and stem.isalpha() and (stem.isascii() or _latin(stem)):
+                tails.append((w, stem))  # letters, then marks: two runs to the tokenizer
             elif w:
                 mixed.append(w)
-        simple = {w: w.encode().decode("latin-1").translate(self.byte_letters) for w in plain if _in_final_form(w)}
-        self._learn_joined(list(simple), list(simple.values()), found)
-        mixed += plain - simple.keys()
+        stems = {stem for _, stem in tails}.difference(plain)
+        known = {stem: ids for stem in stems if (ids := self.memory.peek(stem)) is not None}
+        plain += stems - known.keys()
+        mixed += self._learn_plain(plain, found)
+        mixed += {w[len(stem) :] for w, stem in tails} - self.marks.keys()
         for w, encoded in zip(mixed, self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False), strict=True):
             found[w] = np.asarray(encoded.ids, "<u4").tobytes()
-        for w in tails:
-            found[w] = found[w[:-1]] + self.marks[w[-1]]
+        for w, stem in tails:
+            marks = w[len(stem) :]
+            if marks not in self.marks:
+                if len(self.marks) >= MAX_MARKS:
+                    self.marks = {}
+                self.marks[marks] = found.get(marks) or self._whole(marks)
+            found[w] = (known.get(stem) or found[stem]) + self.marks[marks]
         return found
 
-    def _learn_joined(self, words: list[str], forms: list[str], found: dict[str, bytes]) -> None:
-        """Many words to a call: each ends with the first piece that ends a word."""
-        for at in range(0, len(words), 512):
-            ids = np.asarray(self.merges.encode_batch_fast([" ".join(forms[at : at + 512])], add_special_tokens=False)[0].ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            raw, start = ids.tobytes(), 0
-            for w, stop in zip(words[at : at + 512], stops, strict=True):
-                found[w] = raw[start:stop]
-                start = stop
+    def _learn_plain(self, words: list[str], found: dict[str, bytes]) -> list[str]:
+        """Ids of words of letters, many to a call; those that the normaliser changes are handed back."""
+        joined, rest = " ".join(words), []
+        if not (_latin(joined) and joined == joined.lower()):
+            rest = [w for w in words if not _in_final_form(w)]
+            words = [w for w in words if _in_final_form(w)]
+            joined = " ".join(words)
+        forms = joined.encode().decode("latin-1").translate(self.byte_letters).replace(self.byte_space, " ")
+        ids = np.asarray(self.merges.encode_batch_fast([forms], add_special_tokens=False)[0].ids, "<u4")
+        # each word ends with the first piece that ends a word
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        raw, start = ids.tobytes(), 0
+        for w, stop in zip(words, stops, strict=True):
+            found[w] = raw[start:stop]
+            start = stop
+        return rest
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null text has none."""
