@@ -14,6 +14,7 @@ runs are encoded by merging itself.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections import Counter
 from collections.abc import Iterator
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchyard.llm.memo import WordMemory
+from switchyard.llm.memo import WordMemory, small_parts
 from switchyard.llm.piece_model import BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, PieceModel, safe_parts
 
 MAX_WORDS = 800_000
 MAX_PAIRS = 2_000_000
-GROUP = 256
+GROUP = 512
 
 
 class PieceEncoder:
@@ -175,6 +176,17 @@ class PieceEncoder:
         """Ids of a word as split off: after a space, or after a line break where it starts with a null."""
         return self._ids("\n" + word[1:] if word[:1] == "\0" else SPACE + word.replace(" ", SPACE))
 
+    def words(self, text: str) -> list[str] | None:
+        """The words to look up in place of a text that is not empty; None if it has to be encoded as a whole."""
+        text = text.replace(SPACE, " ")
+        if "\0" in text:  # the mark of a line break is taken
+            return None
+        text = text.replace("\n", " \0")  # a line break is in no piece
+        return self._runs(text) if "  " in text or text[0] == " " else text.split(" ")
+
+    def whole(self, text: str) -> bytes:
+        return self._ids((" " + text).replace(" ", SPACE))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; a null or empty text has none."""
         out: list[bytes] = [b""] * len(texts)
@@ -182,13 +194,12 @@ class PieceEncoder:
         for at, text in enumerate(texts):
             if not text:
                 continue
-            text = text.replace(SPACE, " ")
-            if "\0" in text:  # the mark of a line break is taken
-                out[at] = self._ids((" " + text).replace(" ", SPACE))
+            words = self.words(text)
+            if words is None:
+                out[at] = self.whole(text)
                 continue
-            text = text.replace("\n", " \0")  # a line break is in no piece
             places.append(at)
-            split.append(self._runs(text) if "  " in text or text[0] == " " else text.split(" "))
+            split.append(words)
         for at, parts in zip(places, self.memory.look_up(split), strict=True):
             out[at] = b"".join(parts)
         return out
@@ -234,12 +245,15 @@ class PieceDecoder:
 
     def decode(self, ids: list[int]) -> str:
         """The text; the space that encoding puts before it goes, bytes that are no UTF-8 become U+FFFD each."""
-        raw = self.raw
         start = 0
         while start < len(ids) and self.kinds[ids[start]] == CONTROL:
             start += 1
-        data = b"".join([raw[i] for i in ids])
-        if start < len(ids) and ids[start] in self.spaced:
+        return self.text(b"".join([self.raw[i] for i in ids]), start < len(ids) and ids[start] in self.spaced)
+
+    @staticmethod
+    def text(data: bytes, spaced: bool) -> str:
+        """The text of the joined bytes of pieces, the first of which starts with a space if ``spaced``."""
+        if spaced:
             data = data[1:]
         try:
             return data.decode("utf-8")
@@ -259,8 +273,48 @@ class PieceDecoder:
             return "".join(out)
 
 
+class PieceDigester:
+    """Digests of a text's ids and of what they decode to.
+
+    For each word the decimal text of its ids and the bytes of its pieces are
+    remembered; both of a text are those of its words joined.
+    """
+
+    def __init__(self, path: str, max_words: int = MAX_WORDS):
+        self.encoder, self.decoder = PieceEncoder(path, max_words), PieceDecoder(path)
+        self.decimal = [b"%d," % i for i in range(len(self.decoder.raw))]
+        self.memory = WordMemory(lambda words: {w: self._both(self.encoder._word(w)) for w in words}, max_words)
+
+    def _both(self, ids: bytes) -> tuple[bytes, bytes]:
+        numbers = np.frombuffer(ids, "<i4").tolist()
+        return b"".join([self.decimal[i] for i in numbers]), b"".join([self.decoder.raw[i] for i in numbers])
+
+    def _digests(self, listed: bytes, data: bytes) -> tuple[int, str, str]:
+        spaced = bool(listed) and int(listed[: listed.index(b",")]) in self.decoder.spaced
+        text = self.decoder.text(data, spaced).encode()
+        return listed.count(b","), hashlib.sha256(listed[:-1]).hexdigest(), hashlib.sha256(text).hexdigest()
+
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Number of ids, SHA-256 of their decimal text joined by commas, SHA-256 of the decoded text; a null text is empty."""
+        out = [self._digests(b"", b"")] * len(texts)
+        places, split = [], []
+        for at, text in enumerate(texts):
+            if not text:
+                continue
+            words = self.encoder.words(text)
+            if words is None:
+                out[at] = self._digests(*self._both(self.encoder.whole(text)))
+                continue
+            places.append(at)
+            split.append(words)
+        for at, values in zip(places, self.memory.look_up(split), strict=True):
+            out[at] = self._digests(b"".join([v[0] for v in values]), b"".join([v[1] for v in values]))
+        return out
+
+
 _encoders: dict[str, PieceEncoder] = {}
 _decoders: dict[str, PieceDecoder] = {}
+_digesters: dict[str, PieceDigester] = {}
 
 
 def _encode_batches(path: str):
@@ -293,6 +347,29 @@ def _decode_batches(path: str):
     return run
 
 
+def _digest_batches(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _digesters:
+            _digesters[path] = PieceDigester(path)
+        for part in small_parts(batches, GROUP):
+            rows = _digesters[path].digests(part.column(1).to_pylist())
+            counts, ids, decoded = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
+def digest_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: texts encoded, and the ids decoded, in one pass without shuffle.
+
+    Ids are joined by commas in decimal, digests are lowercase hexadecimal.  A
+    null or empty text has no ids and decodes to the empty text.  Repeated rows
+    repeat their digests, a null id stays null, other columns are not looked at.
+    """
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return chosen.mapInArrow(_digest_batches(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)`` for every row; a null or empty text has no ids.
 

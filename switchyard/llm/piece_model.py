@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from operator import add
 
 SPACE = "▁"
 #: Kinds of pieces in the file format.
@@ -77,10 +78,6 @@ class PieceModel:
 
 def safe_parts(text: str, neighbours: set[str]) -> list[str]:
     """The text cut wherever no piece can reach across."""
-    parts, start = [], 0
-    for i in range(1, len(text)):
-        if text[i - 1 : i + 1] not in neighbours:
-            parts.append(text[start:i])
-            start = i
-    parts.append(text[start:])
-    return parts
+    inside = map(neighbours.__contains__, map(add, text, text[1:]))
+    cuts = [i for i, held in enumerate(inside, 1) if not held]
+    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)] if cuts else [text]

@@ -135,9 +135,6 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from switchyard.llm.piece_bpe import decode_pieces, encode_pieces
+    from switchyard.llm.piece_bpe import digest_pieces
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents"), path), path)
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digest_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import random
 import re
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from switchyard.llm import secrets as sc
 from switchyard.llm.language import identify_languages, learn_prototypes
-from switchyard.llm.piece_bpe import PieceDecoder, PieceEncoder, decode_pieces, encode_pieces
+from switchyard.llm.piece_bpe import PieceDecoder, PieceDigester, PieceEncoder, decode_pieces, digest_pieces, encode_pieces
 from switchyard.llm.piece_model import PieceModel
 from switchyard.llm.tokens import WordEncoder
 from switchyard.llm.unigram_counts import UnigramCounter, count_tokens
@@ -42,6 +43,17 @@ def test_piece_encoding_equals_the_library():
     assert [decoder.decode(x) for x in wild] == [library.decode(x) for x in wild]
 
 
+@pytest.mark.parametrize("limit", [2, 1_000_000])
+def test_piece_digests_equal_the_library(limit):
+    import sentencepiece
+
+    library, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), PieceDigester(PIECES, limit)
+    texts = _fuzz(800, 5)
+    ids = library.encode(texts)
+    expected = [(len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(library.decode(i).encode()).hexdigest()) for i in ids]
+    assert [d for at in range(0, len(texts), 64) for d in own.digests(texts[at : at + 64])] == expected
+
+
 def test_unigram_counts_equal_the_library():
     from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -68,6 +80,10 @@ def test_coding_tables(spark):
     assert sorted((r["doc_id"] or 0, r["decoded"]) for r in coded) == [(0, ""), (1, "a b"), (1, "a b"), (2, "")]
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in count_tokens(docs, PIECES).collect()) == [(0, 0), (1, 2), (1, 2), (2, 0)]
     assert encode_pieces(docs.limit(0), PIECES).count() == 0
+    empty = hashlib.sha256(b"").hexdigest()
+    digests = digest_pieces(docs.withColumn("n_tokens", F.lit("x")), PIECES).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["decoded_sha256"] == empty) for r in digests) == [(0, 0, True), (1, 2, False), (1, 2, False), (2, 0, True)]
+    assert digest_pieces(docs.limit(0), PIECES).count() == 0
 
 
 def _der(tag: int, body: bytes) -> bytes:
