@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from switchyard.llm.curves import hilbert_keys, nearest_neighbours
-from switchyard.llm.exact_dedup import exact_duplicates
+from switchyard.llm.exact_dedup import bloom_shards, exact_duplicates
 from switchyard.llm.near_dedup import near_duplicates
 from switchyard.llm.packing import pack_documents, pack_pieces, plan_packing, sequences
 from switchyard.llm.shingles import shingle_set
@@ -27,7 +27,8 @@ WORDS = P.path("word_bpe_49k.json")
 
 @pytest.mark.parametrize("bits", [29, 16])
 def test_exact_duplicates(spark, bits):
-    rows = [(1, "Ab"), (2, "aB"), (3, "É"), (4, "é"), (5, None), (6, ""), (6, ""), (None, "ab"), (7, "x" * 100_000), *((i, "hot") for i in range(100, 400)), *((i, f"single {i}") for i in range(400, 600))]
+    rows = [(1, "Ab"), (2, "aB"), (3, "É"), (4, "é"), (5, None), (6, ""), (6, ""), (None, "ab"), (7, "x" * 100_000), *((i, "hot") for i in range(100, 400)), *((i, f"single {i}") for i in range(400, 12_000))]
+    assert bloom_shards(len(rows), bits) == (1 if bits == 29 else 4)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1)).repartition(5)
     got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_duplicates(docs, max_log2_bits=bits).collect())
     groups: dict[str, list] = {}
@@ -120,6 +121,15 @@ def test_near_duplicate_edges(spark):
     assert near_duplicates(docs.limit(0)).isEmpty()
 
 
+def test_words_that_fool_polynomials_modulo_a_power_of_two(spark):
+    """Thue-Morse words and their complements have one polynomial hash modulo 2**64 under any base."""
+    first = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    second = first.translate(str.maketrans("ab", "ba"))
+    rows = [(1, first), (2, second), (3, f"{first} {second} x y z u v w"), (4, f"{second} {first} x y z u v w"), (5, first)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == _components(rows)
+
+
 def test_shingle_hashes_follow_words():
     assert len(shingle_set(b"a b c d e f a b c d e f")) == len(_shingles("a b c d e f a b c d e f"))
     assert (shingle_set(b"A  b\tc d E") == shingle_set(b"a b c d e")).all()
