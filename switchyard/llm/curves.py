@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from switchyard.plans.scratch import materialize
 
-CURVES = 12
-DIMENSIONS, BITS = 6, 8
-#: Share of all rows that a window spans to either side of the query.
-REACH = 0.08
+CURVES = 32
+DIMENSIONS, BITS = 8, 7
+#: Rows that a window spans to either side of the query, whatever the size of the table.
+WINDOW = 512
 BLOCK = 2048
 SEED = 11
 #: Ways in which the rows of one vector are dealt, and groups of copies up to which they are broadcast.
@@ -187,7 +187,7 @@ def nearest_neighbours(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     curves: int = CURVES,
-    reach: float = REACH,
+    window: int = WINDOW,
     dimensions: int = DIMENSIONS,
     bits: int = BITS,
     block: int = BLOCK,
@@ -201,8 +201,13 @@ def nearest_neighbours(
     zero, of another width than most or hold null or non-finite components
     take no part, nor do rows without an id; rows that repeat an id count once.
     Scale and centre of the grid are fitted on all rows by aggregation.
+    A query is compared with ``2 * window`` rows on each curve, so work grows
+    with the queries and not with their product with the rows; what share of
+    the true neighbours that finds depends on the table (README).
     """
-    chosen = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), queries.alias("asked"))
+    # four bytes a component are exact where the table has no more
+    kind = "float" if vectors.select(vector_col).dtypes[0][1] == "array<float>" else "double"
+    chosen = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"), queries.alias("asked"))
     chosen = chosen.where(usable()).withColumn("width", F.size("vector"))
     widths = chosen.groupBy("width").count().orderBy(F.desc("count"), "width").limit(1).collect()
     out = "query_id long, rank int, vec_id long, score double"
@@ -223,8 +228,7 @@ def nearest_neighbours(
     for r in moments:
         centre[r["at"]] = r["m"]
     scale = float(np.sqrt(np.mean([r["v"] for r in moments]))) or 1.0
-    # doubles suffice as four bytes on the way to the blocks if the vectors were floats, but exactness asks for all eight
-    keyed = placeable.select("vec_id", "vector").mapInArrow(_key_batches(curves, width, scale, centre, dimensions, bits, seed), "curve int, key long, vec_id long, vector array<double>")
+    keyed = placeable.select("vec_id", "vector").mapInArrow(_key_batches(curves, width, scale, centre, dimensions, bits, seed), f"curve int, key long, vec_id long, vector array<{kind}>")
     parts = max(curves, -(-total * curves // 65536))
     ordered = keyed.repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
     placed = materialize(ordered.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "curves")
@@ -233,7 +237,7 @@ def nearest_neighbours(
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     skips = tally.select("curve", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("skip"))
     ranked = placed.join(F.broadcast(skips), ["curve", "part"]).withColumn("rank", F.col("nth") + F.col("skip")).drop("part", "nth", "skip", "key")
-    span = max(k, int(np.ceil(reach * total)))
+    span = max(k, window)
     block_rows = ranked.select("curve", F.floor(F.col("rank") / block).alias("block"), F.lit(False).alias("asked"), "vec_id", "vector", "rank", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
     asked = ranked.join(sought, "vec_id").withColumns({"low": F.greatest(F.col("rank") - span, F.lit(0)), "high": F.least(F.col("rank") + span, F.lit(total - 1))})
     asked = asked.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block))))

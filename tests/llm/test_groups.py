@@ -221,6 +221,21 @@ def test_nearest_neighbours(spark):
     assert nearest_neighbours(table.limit(0), F.col("vec_id") % 100 == 0).isEmpty()
 
 
+def test_window_search_finds_most_and_compares_few(spark):
+    """Vectors near a surface of 5 dimensions in 32: windows of 40 of 6,000 rows, so a tenth of brute force, and a bound that blind windows miss."""
+    rng = np.random.default_rng(19)
+    vectors = (rng.standard_normal((6000, 5)) @ rng.standard_normal((5, 32)) + 0.01 * rng.standard_normal((6000, 32))).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    want = _brute_neighbours(vectors, list(range(0, 6000, 100)))
+
+    def recall(**settings) -> float:
+        found = {(r["query_id"], r["vec_id"]) for r in nearest_neighbours(table, F.col("vec_id") % 100 == 0, **settings).collect()}
+        return sum((q, i) in found for q, near in want.items() for i in near) / 600
+
+    assert recall(curves=8, window=40) >= 0.9
+    assert recall(curves=1, window=10) < 0.7
+
+
 def _brute_neighbours(vectors: np.ndarray, queries: list[int], k: int = 10) -> dict[int, list[int]]:
     exact, ids = vectors.astype(np.float64), np.arange(len(vectors))
     return {q: [int(i) for i in np.lexsort((ids, np.sqrt(((exact - exact[q]) ** 2).sum(axis=1)))) if i != q][:k] for q in queries}
@@ -247,7 +262,7 @@ def test_ties_of_neighbours_go_to_the_smaller_id(spark):
         step[i % 24] += 1 if i < 24 else -1
         ties[599 - i], ties[299 - i] = step, step
     ties[200:203] = ties[599]
-    assert found(ties, reach=1.0) == _brute_neighbours(ties, list(range(0, 600, 100)))
+    assert found(ties, window=600) == _brute_neighbours(ties, list(range(0, 600, 100)))
 
 
 def test_block_search_is_exact():
