@@ -1,10 +1,10 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine on a block-max inverted index.
 
-Terms are words and the beginnings of longer words.  The vocabulary is the
-terms whose presence goes with the label on a bounded sample of labelled
+Terms are words and the beginnings of longer words.  The vocabulary is every
+term whose presence goes with the label on a bounded sample of labelled
 documents; document frequencies are counted over all documents.  The sample's
-vectors form an inverted index whose examples are cut into blocks; for each
-term and block the largest weight is kept.  A document's score in a block
+vectors form an inverted index: a list of examples and weights for each term.
+Examples are cut into blocks; for each term and block the largest weight is kept.  A document's score in a block
 cannot exceed the sum of these, so blocks are visited from the highest bound
 down and the search ends when no bound exceeds the k-th best cosine found.
 Votes weigh by the square of the cosine against a prior of the examples that
@@ -30,9 +30,8 @@ from switchyard.llm.memo import WordMemory, small_parts
 from switchyard.llm.shingles import shingle_set
 from switchyard.plans.scratch import materialize
 
-#: Bounds of the fitted model: labelled examples, terms.
+#: Bound of the fitted model: labelled examples.
 MAX_EXAMPLES = 8000
-MAX_TERMS = 1024
 #: Evidence that a term must give: examples that hold it, and chi-squared with one degree of freedom.
 MIN_SUPPORT = 3
 MIN_CHI2 = 15.0
@@ -62,7 +61,7 @@ def _example_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         texts = batch.column(2).to_pylist()
         terms = [sorted({t for w in set(_words(x)) for t in terms_of(w)}) for x in texts]
         keys = [hashlib.sha256(s.tobytes()).digest() if len(s := shingle_set((x or "").encode())) else None for x in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.string())), pa.array(keys, pa.binary())], ["doc_id", "toxic", "terms", "key"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(terms, pa.list_(pa.string())), pa.array(keys, pa.binary())], ["doc_id", "toxic", "text", "terms", "key"])
 
 
 def _count_batches(vocabulary):
@@ -101,12 +100,16 @@ class ExampleIndex:
         vectors.sort(key=lambda v: (v[2][int(np.argmax(v[3]))], v[0]))
         self.ids = np.array([v[0] for v in vectors], np.int64)
         self.labels = np.array([v[1] for v in vectors], np.int64)
-        n, blocks = len(vectors), -(-len(vectors) // BLOCK)
-        self.dense = np.zeros((len(idf), blocks * BLOCK))
+        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+        lists: list[tuple[list[int], list[float]]] = [([], []) for _ in idf]
         for at, (_, _, terms, weights) in enumerate(vectors):
-            self.dense[terms, at] = weights
-        self.bounds = self.dense.reshape(len(idf), blocks, BLOCK).max(axis=2) if n else np.zeros((len(idf), 0))
-        self.n = n
+            for term, weight in zip(terms, weights.tolist(), strict=True):
+                lists[term][0].append(at)
+                lists[term][1].append(weight)
+        self.postings = [(np.array(places, np.int32), np.array(weights)) for places, weights in lists]
+        self.bounds = np.zeros((len(idf), self.blocks))
+        for term, (places, weights) in enumerate(self.postings):
+            np.maximum.at(self.bounds[term], places // BLOCK, weights)
         self.curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def weights(self, terms: list[int], counts: list[int]) -> np.ndarray:
@@ -118,6 +121,9 @@ class ExampleIndex:
         """The k examples of highest positive cosine as (cosine, id, label), ties to the smaller id; exact."""
         bounds = weights @ self.bounds[terms]
         order = np.argsort(-bounds, kind="stable")
+        held = np.concatenate([self.postings[t][0] for t in terms])
+        products = np.concatenate([w * self.postings[t][1] for t, w in zip(terms, weights.tolist(), strict=True)])
+        block_of = held // BLOCK
         places, cosines = np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, FIRST_BLOCKS
         while at < len(order):
@@ -126,12 +132,14 @@ class ExampleIndex:
             blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least - 1e-9)]
             if not len(blocks):
                 break
-            columns = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = np.round(weights @ self.dense[np.ix_(terms, columns)], 12)
-            good = (found > 0) & (found >= least - 1e-9)
+            chosen = np.zeros(self.blocks, bool)
+            chosen[blocks] = True
+            inside = chosen[block_of]
+            sums = np.round(np.bincount(held[inside], products[inside], self.n), 12)
+            columns = np.flatnonzero((sums > 0) & (sums >= least - 1e-9))
             if skip is not None:
-                good &= self.ids[np.minimum(columns, self.n - 1)] != skip
-            places, cosines = np.concatenate([places, columns[good]]), np.concatenate([cosines, found[good]])
+                columns = columns[self.ids[columns] != skip]
+            places, cosines = np.concatenate([places, columns]), np.concatenate([cosines, sums[columns]])
             at, step = at + step, 8 * step  # few blocks set the mark, then many are passed over at once
         first = np.lexsort((self.ids[places], -cosines))[:k]
         return [(float(cosines[i]), int(self.ids[places[i]]), int(self.labels[places[i]])) for i in first]
@@ -190,17 +198,18 @@ def _score_batches(index):
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
-    """Whether the crc32 of an id as text leaves ``fold`` when divided by ``folds``."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(folds) == F.lit(fold)
+    """Whether the crc32 of an id as text leaves ``fold`` when divided by ``folds``; a row without an id is always held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(folds) == F.lit(fold), F.lit(True))
 
 
 def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, digest_col: str | None = None
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, digest_col: str | None = None
 ) -> DataFrame:
     """``(doc_id, score, predicted, evidence)`` for every row of ``docs``; ``evidence`` holds the nearest examples.
 
     ``labels`` has one or more rows an id with a 0/1 label; the largest counts
-    and nulls don't.  At most ``max_examples`` labelled ids, by a hash of the
+    and nulls don't.  Of rows of ``docs`` that repeat a labelled id the least
+    text is the example.  At most ``max_examples`` labelled ids, by a hash of the
     id, are learned from, all but copies of equal shingle sets and labels.  Texts that are null, empty or without a term of the
     vocabulary get the label's share among such examples; without any labels
     all scores are 0.  Repeated rows repeat their scores, a null id is scored
@@ -215,8 +224,9 @@ def score_toxicity(
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     sample = materialize(sample, "sample")
     # at most max_examples ids, two numbers each
-    texts = chosen.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
-    examples = texts.mapInArrow(_example_batches, "doc_id long, toxic int, terms array<string>, key binary")
+    # of rows that repeat an id, the least text counts
+    texts = chosen.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    examples = texts.mapInArrow(_example_batches, "doc_id long, toxic int, text string, terms array<string>, key binary")
     examples = materialize(examples, "examples")
     # of copies, which have equal sets of shingles and one label, one is enough; examples without words all stay
     single = examples.where("key is not null").groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id").unionByName(examples.where("key is null").select("doc_id"))
@@ -227,15 +237,17 @@ def score_toxicity(
     expected = F.col("c") * F.lit(p / n if n else 0.0)
     spread = expected * F.lit(1 - p / n if n else 0.0) * (F.lit(n) - F.col("c")) / F.lit(max(1.0, n))
     chi2 = F.when(spread > 0, (F.col("a") - expected) ** 2 / spread).otherwise(F.lit(0.0))
-    strong = by_term.withColumn("chi2", chi2).where((F.col("c") >= MIN_SUPPORT) & (F.col("chi2") >= MIN_CHI2)).orderBy(F.desc("chi2"), "term").limit(max_terms)
+    strong = by_term.withColumn("chi2", chi2).where((F.col("c") >= MIN_SUPPORT) & (F.col("chi2") >= MIN_CHI2)).orderBy(F.desc("chi2"), "term")
+    # terms of the sample, which is bounded
     vocabulary = [r["term"] for r in strong.select("term").collect()]
 
-    counted = materialize(chosen.mapInArrow(_count_batches(spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})), "doc_id long, terms array<int>, counts array<int>" + more), "counted")
+    count = _count_batches(spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)}))
+    counted = materialize(chosen.mapInArrow(count, "doc_id long, terms array<int>, counts array<int>" + more), "counted")
     frequency = np.zeros(len(vocabulary))
     for row in counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():
         frequency[row["term"]] = row["n"]
     idf = np.log((1 + counted.count()) / (1 + frequency)) if vocabulary else np.zeros(0)
-    held = counted.join(F.broadcast(single.select("doc_id", "toxic")), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "terms", "counts")
+    held = single.select("doc_id", "text", "toxic").mapInArrow(count, "doc_id long, terms array<int>, counts array<int>, toxic int")
     learned = sorted((r["doc_id"], r["toxic"], r["terms"], r["counts"]) for r in held.collect())
     index = ExampleIndex(learned, idf)
     index.calibrate(learned)
