@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from switchyard.plans.scratch import materialize, release
 
-#: Edges that a task holds at a time.
-CHUNK = 500_000
+#: Edges that a task contracts at a time.
+CHUNK = 250_000
 
 
 def _roots(edges: Iterator[tuple]) -> tuple[list, list]:
@@ -78,29 +78,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 64) -> DataFrame:
     """``(id, component)`` for every id in ``edges``; a component is its smallest id.
 
-    Each task first contracts its own edges, chunk by chunk, so what a task can
-    see needs no round.  Every round is two grouped minima and two joins, so a
-    hub with a third of all edges is pre-aggregated before the shuffle and its
-    join side can be split by adaptive execution.  Rounds grow with the
-    logarithm of the diameter.  Each round is written to the scratch folder, in
-    place of the one before.
+    Edges are first contracted in as many tasks as there are chunks of a fixed
+    size, so what a task can see needs no round and few edges take one task.
+    Every round after that is two grouped minima and two joins, so a hub with a
+    third of all edges is pre-aggregated before the shuffle and its join side
+    can be split by adaptive execution.  Rounds grow with the logarithm of the
+    diameter.  Each round is written to the scratch folder, in place of the one
+    before.
 
     Null ends and self loops make no edge; an id that has only those is not in
     the result.  Repeated edges count once.  An empty table gives an empty one.
     """
-    current = (
-        edges.select(F.col(left).alias("a"), F.col(right).alias("b"))
-        .where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
+    ends = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
+    current = materialize(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
     shape = current.schema
-    current = materialize(current.mapInArrow(_contract, shape), "edges")
-    for _ in range(max_rounds):
-        if _settled(current):
-            break
-        last, current = current, materialize(_small_star(_large_star(current)).mapInArrow(_contract, shape), "edges")
+    for done in range(max_rounds):
+        parts = -(-current.count() // CHUNK)
+        rows = current if done == 0 else _small_star(_large_star(current))
+        last, current = current, materialize(rows.coalesce(max(1, parts)).mapInArrow(_contract, shape), "edges")
         release(last)
+        if parts < 2 or _settled(current):
+            break
     else:
         raise RuntimeError("star contraction did not settle")
     members = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
