@@ -43,7 +43,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from switchyard.llm.memo import small_parts
@@ -68,6 +68,8 @@ COMPARED = 8192
 OUTSIDERS = 256
 #: Rows of the main component in a unit, and of a block of a node that is large at the last level.
 UNIT, BLOCK = 512, 256
+#: Rows of a large node that share a pivot, on average.
+SEGMENT = 1024
 #: More ids than this are not broadcast but joined by shuffling.
 BROADCAST_IDS = 500_000
 #: More bytes of sets than this are not broadcast either.
@@ -202,15 +204,45 @@ def _node_pairs(threshold: float, likely: float | None):
     return run
 
 
-_PAIRS = "a long, b long, agreement double"
+def _head_agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the agreement of their signature with that of their node's main head."""
+    for batch in batches:
+        agreement = _agreement(_signature_matrix(batch.column("signature")), _signature_matrix(batch.column("head")))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "doc_id", "inside")), pa.array(agreement)], ["path", "doc_id", "inside", "agreement"])
 
 
-def _likely_links(likely: float):
+def _near_links(least: float):
+    """Likely links within segments of nodes, whose rows come sorted: of each row to the first and to the one before."""
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        paths, parts, ids, labels = (table.column(c).to_numpy() for c in ("path", "part", "doc_id", "label"))
+        signatures = _signature_matrix(table.column("signature").combine_chunks())
+        row = np.arange(len(ids))
+        starts = np.concatenate([[True], (paths[1:] != paths[:-1]) | (parts[1:] != parts[:-1])]) if len(ids) else np.zeros(0, bool)
+        first = np.maximum.accumulate(np.where(starts, row, 0))
+        found = []
+        for other in (first, np.where(starts, row, row - 1)):
+            use = np.flatnonzero(labels != labels[other])
+            agreement = _agreement(signatures[use], signatures[other[use]])
+            good = agreement >= least
+            found.append((ids[other[use[good]]], ids[use[good]], agreement[good]))
+        a, b, agreement = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agreement)], ["a", "b", "agreement"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
         for batch in batches:
-            agreement = _agreement(_signature_matrix(batch.column("sig_a")), _signature_matrix(batch.column("sig_b")))
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agreement)], ["a", "b", "agreement"])
-            yield out.filter(pa.array(agreement >= likely))
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            paths, parts = table.column("path").to_numpy(), table.column("part").to_numpy()
+            same = (paths == paths[-1]) & (parts == parts[-1]) if len(paths) else np.zeros(0, bool)
+            cut = int(np.argmax(same)) if len(paths) else 0
+            rest = table.slice(cut)  # the last segment may go on in the next batch
+            if cut:
+                yield links(table.slice(0, cut))
+        if rest is not None and rest.num_rows:
+            yield links(rest)
 
     return run
 
@@ -223,30 +255,19 @@ def _labelled(rows: DataFrame, joined: DataFrame | None, column: str = "doc_id",
     return rows.join(named, column, "left").withColumn(out, F.coalesce("_c", column)).drop("_c")
 
 
-def _agreements(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
-    """``(a, b, agreement)`` of the pairs ``(a, b)`` that agree by ``least``."""
-    left, right = (signatures.select(F.col("doc_id").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_likely_links(least), _PAIRS)
-
-
 def _group_links(large: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
     """Likely links ``(a, b)``, at most two a row, of the labelled rows of large nodes.
 
-    In the largest of its nodes a row is compared with the pivot, a row by hash,
-    and with the row before it in its share; and with the smallest pivot of all
-    its nodes.  Only where the labels differ.
+    Nodes are dealt into segments of bounded size, in an order by hash.  A row
+    is compared with the first of its segment and with the one before it, where
+    the labels differ; of all it agrees with, the smallest and the nearest stay.
     """
-    chance = F.xxhash64("path", "doc_id")
-    pivots = large.groupBy("path").agg(F.min_by(F.struct("doc_id", "label"), F.struct(chance, "doc_id")).alias("pivot"), F.count("*").alias("members"))
-    met = large.join(pivots, "path").where("label <> pivot.label")
-    stars = met.groupBy("doc_id").agg(F.max_by("pivot.doc_id", F.struct("members", "path")).alias("large"), F.min("pivot.doc_id").alias("low"))
-    stars = stars.select(F.explode(F.array_distinct(F.array("large", "low"))).alias("a"), F.col("doc_id").alias("b"))
-    share = Window.partitionBy("path", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy(chance, "doc_id")
-    before = large.select("path", F.lag(F.struct("doc_id", "label")).over(share).alias("before"), "doc_id", "label").where("before.label <> label")
-    chains = before.join(pivots.select("path", "members"), "path").groupBy("doc_id").agg(F.max_by("before.doc_id", F.struct("members", "path")).alias("a"))
-    good = _agreements(stars.unionByName(chains.select("a", F.col("doc_id").alias("b"))).distinct(), signatures, threshold)
+    dealt = large.withColumn("part", F.pmod(F.xxhash64("doc_id", "path"), F.ceil(F.col("members") / SEGMENT)).cast("int"))
+    rows = dealt.join(signatures.select("doc_id", "signature"), "doc_id").withColumn("chance", F.xxhash64("path", "doc_id"))
+    ordered = rows.select("path", "part", "chance", "doc_id", "label", "signature").repartition("path", "part").sortWithinPartitions("path", "part", "chance", "doc_id")
+    good = ordered.mapInArrow(_near_links(threshold), "a long, b long, agreement double")
     best = good.groupBy("b").agg(F.min("a").alias("low"), F.max_by("a", F.struct("agreement", "a")).alias("near"))
-    return best.select(F.col("low").alias("a"), "b").union(best.select("near", "b")).distinct()
+    return best.select(F.explode(F.array_distinct(F.array("low", "near"))).alias("a"), "b")
 
 
 def _below(*parts) -> F.Column:
@@ -260,15 +281,16 @@ def _units(marked: DataFrame, joined: DataFrame | None, signatures: DataFrame, t
     An outsider that agrees with the component's head by x can only agree enough
     with rows that agree with the head by at most x + 1 - (threshold - MARGIN).
     """
-    inside, outside = marked.where("label = main"), marked.where("label <> main")
-    if joined is not None:
-        spread = _agreements(joined.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")), signatures, -1.0)
-        inside = inside.join(spread.select(F.col("b").alias("doc_id"), F.col("agreement").alias("own")), "doc_id", "left")
-        heads = _agreements(outside.select(F.col("main").alias("a"), F.col("doc_id").alias("b")).distinct(), signatures, -1.0)
-        nearest = outside.join(heads.select(F.col("a").alias("main"), F.col("b").alias("doc_id"), "agreement"), ["main", "doc_id"])
-        nearest = nearest.groupBy("path").agg(F.max("agreement").alias("nearest"))
+    if joined is None:
+        inside, outside = marked.where("label = main"), marked.where("label <> main")
+    else:
+        heads = signatures.select(F.col("doc_id").alias("main"), F.col("signature").alias("head"))
+        rows = marked.join(signatures.select("doc_id", "signature"), "doc_id").join(heads, "main").select("path", "doc_id", F.expr("label = main").alias("inside"), "signature", "head")
+        met = materialize(rows.mapInArrow(_head_agreements, "path long, doc_id long, inside boolean, agreement double"), "met")
+        outside = met.where("not inside")
+        nearest = outside.groupBy("path").agg(F.max("agreement").alias("nearest"))
         reach = F.col("nearest") + (1 - threshold + MARGIN + 1e-9)
-        inside = materialize(inside.join(nearest, "path").where(F.coalesce("own", F.lit(1.0)) <= reach).select("path", "doc_id"), "inside")
+        inside = met.where("inside").join(nearest, "path").where(F.col("agreement") <= reach).select("path", "doc_id")
     sizes = inside.groupBy("path").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("parts"))
     dealt = inside.join(sizes, "path").select("path", "doc_id", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("unit"))
     # outsiders of a node meet each other once, and again in each share
@@ -312,7 +334,7 @@ def tree_nodes(shared: DataFrame, sets: DataFrame, signatures: DataFrame, thresh
     level = FIRST_LEVELS
     while True:
         nodes.append(_whole(shared.where(F.col("members") <= node_limit)))
-        large = shared.where(F.col("members") > node_limit).select("path", "doc_id")
+        large = shared.where(F.col("members") > node_limit)
         if large.isEmpty():
             break
         likely = materialize(_group_links(_labelled(large, joined), signatures, threshold), "likely")
@@ -323,7 +345,7 @@ def tree_nodes(shared: DataFrame, sets: DataFrame, signatures: DataFrame, thresh
             if joined is not None:
                 release(joined)
             joined = _components(links)
-        named = materialize(_labelled(large, joined), "named")
+        named = materialize(_labelled(large.select("path", "doc_id"), joined), "named")
         sizes = named.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path")
         mixed = sizes.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("main_rows"), F.sum("n").alias("members")).where("main_rows < members")
         marked = materialize(named.join(mixed, "path"), "marked")
@@ -386,8 +408,8 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def confirmed_links(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``(a, b)``, read from a table, whose full shingle sets reach the threshold."""
-    ends = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends")
-    used = materialize(_only(sets, ends), "used")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    used = materialize(sets.join(ends, "doc_id", "left_semi"), "used")
     # groups that are dense have few sets and many pairs, so that it is the sets that travel, once
     small = (used.agg(F.sum(F.length("shingles"))).first()[0] or 0) <= BROADCAST_BYTES
     left, right = (used.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
@@ -395,7 +417,7 @@ def confirmed_links(sets: DataFrame, pairs: DataFrame, threshold: float) -> Data
         left, right = F.broadcast(left), F.broadcast(right)
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
     found = materialize(joined.mapInArrow(_confirm(round(100 * threshold)), "a long, b long"), "links")
-    release(ends, used)
+    release(used)
     return found
 
 
