@@ -69,10 +69,10 @@ def main(argv: Sequence[str] | None = None) -> int:
         from switchyard.operators.schemas import SCHEMA_VERSION
         from switchyard.sources.loaders import load_models, load_queries
         from switchyard.sources.sinks import write_split_bundle
-        from switchyard.sources.storage import load_split_settings, resolve_storage_root
+        from switchyard.sources.storage import StoragePolicy, load_split_settings
 
         settings = load_split_settings(args.settings)
-        root = resolve_storage_root(Path.cwd(), args.storage_root, settings.root_environment_variable)
+        root = StoragePolicy(Path.cwd(), settings.root_environment_variable).root(args.storage_root)
         queries, models = load_queries(spark, args.queries), load_models(spark, args.models)
         found = deduplicate_queries(queries, settings.deduplication)
         built, unsupported = build_splits(queries, models, settings.build_config(args.dataset_id, args.revision, SCHEMA_VERSION), found, args.allow_unsupported_temporal)

@@ -53,6 +53,9 @@ def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+_ASCII = r"\A[\x00-\x7F]*\z"
+
+
 @F.pandas_udf(T.StringType())
 def _compatibility_fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
@@ -63,9 +66,14 @@ def fold(text: Column | str, exact: bool = False) -> Column:
 
     The built-in form lower-cases and writes ``ß`` as ``ss``, which is full
     folding for the Latin scripts of composed text; ``exact`` runs the complete
-    compatibility normalisation and folding in an Arrow UDF.
+    compatibility normalisation and folding, in an Arrow UDF that only gets
+    text with other characters than ASCII.
     """
-    return _compatibility_fold(_column(text)) if exact else F.replace(F.lower(_column(text)), F.lit("ß"), F.lit("ss"))
+    column = _column(text)
+    if not exact:
+        return F.replace(F.lower(column), F.lit("ß"), F.lit("ss"))
+    plain = column.rlike(_ASCII)
+    return F.when(plain, F.lower(column)).otherwise(_compatibility_fold(F.when(~plain, column)))
 
 
 def squeeze(text: Column | str) -> Column:
@@ -73,7 +81,7 @@ def squeeze(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(_column(text), _SPACE, " "))
 
 
-def normalize_prompt(prompt: Column | str, exact: bool = False) -> Column:
+def normalize_prompt(prompt: Column | str, exact: bool = True) -> Column:
     """The form in which prompts are compared: folded, single-spaced."""
     return squeeze(fold(prompt, exact))
 
@@ -129,6 +137,19 @@ def shingle_hashes(normalized: Column | str, size: int = 3) -> Column:
     return F.array_distinct(F.transform(grams, lambda g: F.substring(F.sha2(g, 256), 1, 16)))
 
 
+_SIGN = -(1 << 63)
+
+
+def hash_number(digits: Column | str) -> Column:
+    """16 hex digits as a 64-bit integer; numbers sort as the digits do."""
+    return F.conv(_column(digits), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN))
+
+
+def hash_digits(number: Column | str) -> Column:
+    """The hex digits behind a ``hash_number``."""
+    return F.lower(F.lpad(F.hex(_column(number).bitwiseXOR(F.lit(_SIGN))), 16, "0"))
+
+
 def signature(hashes: Column | str, size: int = 8) -> Column:
     """The ``size`` smallest hashes, in order."""
     return F.slice(F.array_sort(_column(hashes)), 1, size)
@@ -197,8 +218,12 @@ def parse_iso8601(text: Column | str) -> Column:
 
 
 def isoformat(moment: Column | str) -> Column:
-    """UTC time as Python writes it: microseconds only where there are any."""
-    column = _column(moment)
-    whole = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.when(F.date_format(column, "SSSSSS") != "000000", F.concat(F.lit("."), F.date_format(column, "SSSSSS"))).otherwise(F.lit(""))
-    return F.concat(whole, fraction, F.lit("+00:00"))
+    """UTC time, in whatever zone the session is, as Python writes it: microseconds only where there are any."""
+    micros = F.unix_micros(_column(moment))
+    inside = F.pmod(micros, F.lit(86_400_000_000))
+    day = F.date_from_unix_date(((micros - inside) / F.lit(86_400_000_000)).cast("int")).cast("string")
+    seconds = F.floor(inside / F.lit(1_000_000))
+    clock = [F.lpad(x.cast("string"), 2, "0") for x in (F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)]
+    part = inside % 1_000_000
+    fraction = F.when(part != 0, F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))).otherwise(F.lit(""))
+    return F.concat(day, F.lit("T"), F.concat_ws(":", *clock), fraction, F.lit("+00:00"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +40,8 @@ class DeduplicationConfig:
     """Settings that decide what counts as a duplicate.
 
     The shingle hash is the first 64 bits of SHA-256, which Spark has built in.
-    ``exact_folding`` replaces the built-in folding by the complete one.
+    Without ``exact_folding`` the folding is Spark's own, which is quicker and
+    goes by another version.
     """
 
     normalization_version: str = "nfkc-casefold-whitespace-v1"
@@ -46,9 +50,11 @@ class DeduplicationConfig:
     signature_size: int = 8
     max_bucket_size: int = 128
     max_candidate_pairs: int = 1_000_000
-    exact_folding: bool = False
+    exact_folding: bool = True
 
     def validate(self) -> None:
+        if not self.exact_folding and "nfkc" in self.normalization_version:
+            raise DeduplicationError("built-in folding is no compatibility normalisation; name another normalization_version")
         if not self.normalization_version.strip():
             raise DeduplicationError("normalization_version must not be empty")
         if not 0.0 < self.near_duplicate_threshold <= 1.0:
@@ -82,7 +88,7 @@ class DeduplicationResult:
         return ids.join(why, "cluster_id", "left").select("cluster_id", "query_ids", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
 
 
-def fingerprints(queries: DataFrame, exact: bool = False) -> DataFrame:
+def fingerprints(queries: DataFrame, exact: bool = True) -> DataFrame:
     """``(query_id, exact_sha256, normalized_sha256)``."""
     return queries.select("query_id", tx.sha256_hex("prompt").alias("exact_sha256"), tx.sha256_hex(tx.normalize_prompt("prompt", exact)).alias("normalized_sha256"))
 
@@ -101,27 +107,28 @@ def check_queries(queries: DataFrame) -> None:
 
 
 def shingled(queries: DataFrame, config: DeduplicationConfig = DeduplicationConfig()) -> DataFrame:
-    """``(query_id, hashes)``."""
-    return queries.select("query_id", tx.shingle_hashes(tx.normalize_prompt("prompt", config.exact_folding), config.shingle_size).alias("hashes"))
+    """``(query_id, hashes)``; hashes are numbers that sort as their hex digits."""
+    hashes = tx.shingle_hashes(tx.normalize_prompt("prompt", config.exact_folding), config.shingle_size)
+    return queries.select("query_id", F.transform(hashes, tx.hash_number).alias("hashes"))
 
 
 def signature_buckets(shingles: DataFrame, config: DeduplicationConfig = DeduplicationConfig()) -> tuple[DataFrame, DataFrame]:
-    """``(bucket, query_id)`` and ``(bucket, n)`` of buckets that at least two queries share."""
-    rows = shingles.select("query_id", F.explode(tx.signature("hashes", config.signature_size)).alias("bucket"))
+    """``(bucket, query_id, n_hashes)`` and ``(bucket, n)`` of buckets that at least two queries share."""
+    rows = shingles.select("query_id", F.size("hashes").alias("n_hashes"), F.explode(tx.signature("hashes", config.signature_size)).alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     return rows, sizes
 
 
 def candidate_pairs(shingles: DataFrame, config: DeduplicationConfig = DeduplicationConfig()) -> tuple[DataFrame, DataFrame]:
-    """Distinct ``(a, b)`` that share a bucket of at most the allowed size, and the sizes of all shared buckets.
+    """Distinct ``(a, b, n_a, n_b)`` that share a bucket of at most the allowed size, and the sizes of all shared buckets.
 
     The size is counted with partial aggregation before rows meet, so a bucket
     over the limit never comes together in a task.
     """
     rows, sizes = signature_buckets(shingles, config)
     allowed = rows.join(sizes.where(F.col("n") <= config.max_bucket_size).select("bucket"), "bucket")
-    left, right = allowed.select("bucket", F.col("query_id").alias("a")), allowed.select("bucket", F.col("query_id").alias("b"))
-    return left.join(right, "bucket").where("a < b").select("a", "b").distinct(), sizes
+    left, right = (allowed.select("bucket", F.col("query_id").alias(x), F.col("n_hashes").alias(f"n_{x}")) for x in "ab")
+    return left.join(right, "bucket").where("a < b").select("a", "b", "n_a", "n_b").distinct(), sizes
 
 
 def near_duplicate_pairs(queries: DataFrame, config: DeduplicationConfig = DeduplicationConfig()) -> tuple[DataFrame, int]:
@@ -134,7 +141,9 @@ def near_duplicate_pairs(queries: DataFrame, config: DeduplicationConfig = Dedup
     skipped = sizes.where(F.col("n") > config.max_bucket_size).count()
     left = shingles.select(F.col("query_id").alias("a"), F.col("hashes").alias("ha"))
     right = shingles.select(F.col("query_id").alias("b"), F.col("hashes").alias("hb"))
-    scored = candidates.join(left, "a").join(right, "b").select("a", "b", tx.jaccard("ha", "hb").alias("similarity"))
+    # the ratio of the sizes bounds the similarity, so most sets needn't travel
+    likely = candidates.where(F.least("n_a", "n_b") >= config.near_duplicate_threshold * F.greatest("n_a", "n_b")).select("a", "b")
+    scored = likely.join(left, "a").join(right, "b").select("a", "b", tx.jaccard("ha", "hb").alias("similarity"))
     return scored.where(F.col("similarity") >= config.near_duplicate_threshold), skipped
 
 
@@ -154,10 +163,47 @@ def duplicate_evidence(queries: DataFrame, prints: DataFrame, pairs: DataFrame)
     return edges.unionByName(pairs.select("a", "b", F.lit("near_duplicate").alias("reason")))
 
 
+#: Members up to which a group's ids are gathered to be hashed; more are hashed as they come, in order.
+GATHERED = 10_000
+
+
+def _streamed_names(prefix: str):
+    """The names of groups whose rows come sorted; only a hash is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest, done = None, None, []
+        for batch in batches:
+            for group, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if group != current:
+                    if digest:
+                        done.append((current, digest))
+                    current, digest = group, hashlib.sha256(item.encode())
+                else:
+                    digest.update((tx.UNIT + item).encode())
+        if digest:
+            done.append((current, digest))
+        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in done], pa.string()), pa.array([f"{prefix}-{d.hexdigest()[:20]}" for _, d in done], pa.string())], ["group", "name"])
+
+    return run
+
+
 def named_groups(members: DataFrame, group: str, item: str, prefix: str, name: str) -> DataFrame:
-    """``(item, name)``: groups renamed by the hash of their sorted items."""
-    names = members.groupBy(group).agg(tx.set_id(prefix, F.collect_list(item)).alias(name))
-    return members.join(names, group).select(item, name)
+    """``(item, name)``: groups renamed by the hash of their sorted items.
+
+    Groups of more than ``GATHERED`` items are sorted by Spark, which spills,
+    and hashed row by row, so that no task holds a group.
+    """
+    sizes = members.groupBy(group).agg(F.count("*").alias("_n"))
+    large = materialize(sizes.where(F.col("_n") > GATHERED).select(F.col(group).cast("string").alias("group")), "large_groups")
+    keyed = members.select(F.col(group).cast("string").alias("group"), F.col(item).alias("item"))
+    if large.isEmpty():
+        small, names = keyed, None
+    else:
+        ordered = keyed.join(large, "group", "left_semi").repartition("group").sortWithinPartitions("group", "item")
+        small, names = keyed.join(large, "group", "left_anti"), ordered.mapInArrow(_streamed_names(prefix), "group string, name string")
+    gathered = small.groupBy("group").agg(tx.set_id(prefix, F.collect_list("item")).alias("name"))
+    names = gathered if names is None else gathered.unionByName(names)
+    return keyed.join(names, "group").select(F.col("item").alias(item), F.col("name").alias(name))
 
 
 def deduplicate_queries(queries: DataFrame, config: DeduplicationConfig = DeduplicationConfig()) -> DeduplicationResult:

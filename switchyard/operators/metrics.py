@@ -1,14 +1,19 @@
 """Metrics of predictions and of routing policies.
 
-Rank statistics work on counts by distinct score, so what is windowed has a row
-a score rather than a row a prediction.
+Rank statistics work on counts by distinct score; sums below or above a score
+are taken in parallel over ranges of scores, however many there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from switchyard.operators.splits import running_before
+
+#: Points of a frontier that are sent to every task.
+MAX_FRONTIER = 100_000
+
 
 def _by_score(rows: DataFrame, label: str, score: str) -> DataFrame:
     return rows.groupBy(score).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
@@ -16,16 +21,16 @@ def _by_score(rows: DataFrame, label: str, score: str) -> DataFrame:
 
 def auroc(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Probability that a positive outscores a negative; ties count half."""
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    held = _by_score(rows, label, score).withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    held = running_before(_by_score(rows, label, score), [score], "neg", "neg_below")
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
     return held.agg((wins / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
 
 
 def auprc(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Average precision: precision at each distinct score, weighted by the recall it adds."""
-    above = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    held = _by_score(rows, label, score).select("pos", F.sum("pos").over(above).alias("tp"), F.sum(F.col("pos") + F.col("neg")).over(above).alias("n"))
+    held = _by_score(rows, label, score).select((-F.col(score)).alias("falling"), "pos", (F.col("pos") + F.col("neg")).alias("here"))
+    held = running_before(running_before(held, ["falling"], "pos", "tp_before"), ["falling"], "here", "n_before")
+    held = held.select("pos", (F.col("tp_before") + F.col("pos")).alias("tp"), (F.col("n_before") + F.col("here")).alias("n"))
     return held.agg((F.sum(F.col("pos") * F.col("tp") / F.col("n")) / F.sum("pos")).alias("auprc"))
 
 
@@ -45,9 +50,8 @@ def expected_calibration_error(rows: DataFrame, label: str = "label", score: str
 
 
 def _average_ranks(rows: DataFrame, column: str, out: str) -> DataFrame:
-    counts = rows.groupBy(column).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(column, (before + (F.col("_n") + 1) / 2).alias(out))
+    counts = running_before(rows.groupBy(column).agg(F.count("*").alias("_n")), [column], "_n", "_before")
+    return counts.select(column, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -116,7 +120,10 @@ def quality_at_cost(points: DataFrame, cost: float) -> DataFrame:
 
 def pareto_distance(points: DataFrame, frontier: DataFrame) -> DataFrame:
     """``points`` plus the smallest distance in cost and quality to the frontier (one row a model at most)."""
-    edge = frontier.select(F.col("cost").alias("_c"), F.col("quality").alias("_q")).distinct().agg(F.collect_list(F.struct("_c", "_q")).alias("_edge"))
+    distinct = frontier.select(F.col("cost").alias("_c"), F.col("quality").alias("_q")).distinct()
+    if distinct.count() > MAX_FRONTIER:
+        raise ValueError(f"a frontier of more than {MAX_FRONTIER} points; it should have one a model at most")
+    edge = distinct.agg(F.collect_list(F.struct("_c", "_q")).alias("_edge"))
     gaps = F.transform("_edge", lambda e: F.sqrt((F.col("cost") - e["_c"]) ** 2 + (F.col("quality") - e["_q"]) ** 2))
     # the frontier is one row that holds at most one point a model
     return points.join(F.broadcast(edge)).withColumn("pareto_distance", F.array_min(gaps)).drop("_edge")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from switchyard.operators.splits import running_before
 
@@ -59,33 +62,37 @@ def recovery_time(rows: DataFrame, stream: str, order: list[str], shock: int, le
     return placed.where((F.col("n") > shock) & (F.col("sliding_regret") <= level)).groupBy(stream).agg((F.min("n") - shock).alias("recovery"))
 
 
-def budget_pacer(rows: DataFrame, stream: str, order: list[str], cost: str, target: float, eta: float = 0.1, top: float = 10.0) -> DataFrame:
-    """Adds ``multiplier``: clipped dual ascent on the running mean cost over its target.
-
-    The recursion is sequential within a stream by definition; a stream is one
-    budget.  It runs in an ordered fold of the JVM over that stream's rows.
-    """
-    cells = F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("double").alias("_cost"))))
-    first = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<double>").alias("path"))
+def _pacer(target: float, eta: float, top: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, n, m, total = None, 0, 0.0, 0.0
+        for batch in batches:
+            numbers, path = [], []
+            for stream, cost in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if stream != current:
+                    current, n, m, total = stream, 0, 0.0, 0.0
+                total += cost or 0.0
+                m = min(top, max(0.0, m + eta * (total / (n + 1) / target - 1)))
+                numbers.append(n)
+                path.append(m)
+                n += 1
+            names = batch.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(numbers, pa.int64()), pa.array(path, pa.float64())], [*names, "n", "multiplier"])
 
-    def step(state: Column, row: Column) -> Column:
-        total, n = state["sum"] + row["_cost"], state["n"] + 1
-        m = F.greatest(F.lit(0.0), F.least(F.lit(top), state["m"] + eta * (total / n / target - 1)))
-        return F.struct(m.alias("m"), total.alias("sum"), n.alias("n"), F.array_append(state["path"], m).alias("path"))
+    return run
 
-    folded = rows.groupBy(stream).agg(cells.alias("cells")).withColumn("path", F.aggregate("cells", first, step)["path"])
-    each = folded.select(stream, F.posexplode(F.arrays_zip("cells", "path")).alias("n", "z"))
-    return each.select(stream, F.col("n").cast("long").alias("n"), *(F.col(f"z.cells.{c}").alias(c) for c in order), F.col("z.path").alias("multiplier"))
 
+def budget_pacer(rows: DataFrame, stream: str, order: list[str], cost: str, target: float, eta: float = 0.1, top: float = 10.0) -> DataFrame:
+    """``(stream, n, order, multiplier)``: clipped dual ascent on the running mean cost over its target.
 
-def pacer_frame(costs: np.ndarray, target: float, eta: float, top: float) -> np.ndarray:
-    """The same recursion for one stream held in memory."""
-    out, m, total = np.zeros(len(costs)), 0.0, 0.0
-    for i, cost in enumerate(costs):
-        total += cost
-        m = min(top, max(0.0, m + eta * (total / (i + 1) / target - 1)))
-        out[i] = m
-    return out
+    The recursion is sequential within a stream by definition; a stream is one
+    budget.  Rows come sorted and only the state of one stream is held, so a
+    stream may have any length.  A null cost spends nothing.  Rows without a
+    stream are one stream.  ``order`` should be total within a stream.
+    """
+    chosen = rows.select(stream, *order, F.col(cost).cast("double").alias("_cost"))
+    ordered = chosen.repartition(stream).sortWithinPartitions(stream, *order)
+    shape = T.StructType([*chosen.schema.fields[:-1], T.StructField("n", T.LongType()), T.StructField("multiplier", T.DoubleType())])
+    return ordered.mapInArrow(_pacer(target, eta, top), shape).select(stream, "n", *order, "multiplier")
 
 
 def _uniform(*parts: object) -> float:
@@ -213,19 +220,41 @@ def _squared_distance(vector: Column, other: list[float]) -> Column:
     return F.aggregate(F.zip_with(vector, target, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _farthest(picked: list[list[float]]):
+    """The row of each task that is farthest from the nearest of the picked points, the smaller id of equals."""
+    centres = np.array(picked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            points = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1)
+            far = np.min([((points - c) ** 2).sum(axis=1) for c in centres], axis=0)
+            at = int(np.lexsort((ids, -far))[0])
+            if best is None or (-far[at], ids[at]) < best[:2]:
+                best = (-float(far[at]), int(ids[at]), points[at].tolist())
+        if best and best[0] < 0:
+            yield pa.RecordBatch.from_arrays([pa.array([best[1]], pa.int64()), pa.array([best[2]], pa.list_(pa.float64())), pa.array([-best[0]], pa.float64())], ["id", "v", "far"])
+
+    return run
+
+
 def farthest_point_probes(vectors: DataFrame, n: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(place, id)``: greedy farthest points, from the smallest id; ``n`` passes, one row a pass to the driver."""
-    from switchyard.plans.scratch import materialize
+    """``(place, id)``: greedy farthest points, from the smallest id; ties go to the smaller id.
 
+    Each of ``n`` passes reads the vectors once and brings a row a task
+    together; nothing is written or shuffled but those.  Fewer places come back
+    where all other rows equal a picked one.  Null ids and vectors take no part.
+    """
     spark = vectors.sparkSession
-    rows = materialize(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("far", F.lit(float("inf"))), "points")
-    picked: list = []
-    chosen = rows.orderBy("id").first()
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    chosen, picked = rows.orderBy("id").first(), []
     while chosen is not None and len(picked) < n:
-        picked.append(chosen["id"])
-        rows = materialize(rows.withColumn("far", F.least("far", _squared_distance(F.col("v"), chosen["v"]))), "points")
-        chosen = rows.where(F.col("far") > 0).orderBy(F.desc("far"), "id").first()
-    return spark.createDataFrame(list(enumerate(picked)), "place int, id long")
+        picked.append((chosen["id"], list(chosen["v"])))
+        chosen = rows.mapInArrow(_farthest([v for _, v in picked]), "id long, v array<double>, far double").orderBy(F.desc("far"), "id").first()
+    return spark.createDataFrame([(place, i) for place, (i, _) in enumerate(picked)], "place int, id long")
 
 
 def medoid_probes(vectors: DataFrame, k: int, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

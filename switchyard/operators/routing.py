@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,17 +150,62 @@ def pareto_frontier(points: DataFrame, cost: str = "cost", quality: str = "quali
     return points.join(edge, [cost, quality], "left_semi")
 
 
+#: Points that are held against others at a time.
+SKYLINE_BLOCK = 20_000
+
+
+def _unbeaten(rivals: np.ndarray | None):
+    """Points of a task that none of the ``rivals``, or without any none of its own, beats.
+
+    Columns are cost, negated quality and latency, so less is better in each.
+    """
+
+    def beaten(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(points), bool)
+        for at in range(0, len(others), 256):
+            some = others[at : at + 256]
+            rest = np.flatnonzero(~out)
+            no_worse = (some[None, :, :] <= points[rest, None, :]).all(axis=2)
+            better = (some[None, :, :] < points[rest, None, :]).any(axis=2)
+            out[rest] = (no_worse & better).any(axis=1)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            for at in range(0, len(points), 1024):
+                some = points[at : at + 1024]
+                keep = ~beaten(some, some if rivals is None else rivals)
+                yield batch.slice(at, 1024).filter(pa.array(keep))
+
+    return run
+
+
 def pareto_frontier_3d(points: DataFrame, cost: str = "cost", quality: str = "quality", latency: str = "latency") -> DataFrame:
-    """Points of a model-level table that no other point beats in cost, quality and latency together.
+    """Points that no other point beats in cost, quality and latency together; equal points all stay.
 
-    Dominance is a range condition, so this compares points pairwise after the
-    two-dimensional frontiers, which are never dominated, have thinned them; it
-    is meant for one row a model, not for raw outcomes.
+    Distinct points are sorted by a sum that whoever beats a point has less of,
+    and thinned among neighbours.  The rest is held, block by block in that
+    order, against those that are left; a block is bounded and what it beats is
+    gone for the blocks after it.  Points with a null take no part.
     """
-    other = points.select(*(F.col(c).alias(f"_{c}") for c in (cost, quality, latency)))
-    beaten = (F.col(f"_{cost}") <= F.col(cost)) & (F.col(f"_{quality}") >= F.col(quality)) & (F.col(f"_{latency}") <= F.col(latency))
-    strictly = (F.col(f"_{cost}") < F.col(cost)) | (F.col(f"_{quality}") > F.col(quality)) | (F.col(f"_{latency}") < F.col(latency))
-    return points.join(other.distinct(), beaten & strictly, "left_anti")
+    from switchyard.plans.scratch import materialize, release
+
+    shape = "c double, q double, l double"
+    distinct = points.select(F.col(cost).cast("double").alias("c"), (-F.col(quality).cast("double")).alias("q"), F.col(latency).cast("double").alias("l")).where("c + q + l is not null").distinct()
+    left = materialize(distinct.sortWithinPartitions((F.col("c") + F.col("q") + F.col("l"))).mapInArrow(_unbeaten(None), shape), "skyline")
+    done: tuple | None = None
+    while True:
+        after = left if done is None else left.where(F.struct("c", "q", "l") > F.struct(*map(F.lit, done)))
+        block = [tuple(r) for r in after.orderBy("c", "q", "l").limit(SKYLINE_BLOCK).collect()]
+        if not block:
+            break
+        last, left = left, materialize(left.mapInArrow(_unbeaten(np.array(block)), shape), "skyline")
+        release(last)
+        done = block[-1]
+    edge = left.select(F.col("c").alias("_c"), F.col("q").alias("_q"), F.col("l").alias("_l"))
+    same = (F.col(cost).cast("double") == F.col("_c")) & (-F.col(quality).cast("double") == F.col("_q")) & (F.col(latency).cast("double") == F.col("_l"))
+    return points.join(edge, same, "left_semi")
 
 
 def hypervolume(frontier: DataFrame, worst_cost: float, cost: str = "cost", quality: str = "quality") -> DataFrame:

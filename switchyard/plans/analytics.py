@@ -298,25 +298,16 @@ def budget_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("period", "spent", F.round(F.col("excess").cast("double"), 6).alias("excess"))
 
 
-@_register("budget_pacer", f"""with recursive {_R}, t as (select stream, row_number() over (partition by stream order by event_time, route_id) - 1 as n, route_id, cast(k as double) as c from routes where stream % 10 = 0),
+@_register("budget_pacer", f"""with recursive {_R}, t as (select stream, row_number() over (partition by stream order by event_time, route_id) - 1 as n, route_id, cast(k as double) as c from routes),
 f as (
   select stream, n, route_id, c as total, greatest(0.0, least(10.0, 0.1 * (c / 40 - 1))) as m from t where n = 0
   union all select t.stream, t.n, t.route_id, f.total + t.c, greatest(0.0, least(10.0, f.m + 0.1 * ((f.total + t.c) / (t.n + 1) / 40 - 1))) from f join t on t.stream = f.stream and t.n = f.n + 1
 )
 select stream, n, route_id, round(m, 6) as multiplier from f""")
 def budget_pacer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tenth of the streams that the SQL selects; ``budget_pacer_streams`` has them all."""
-    return _paced(views.routes(spark, sf_dir).where("stream % 10 = 0"))
-
-
-@_register("budget_pacer_streams")
-def budget_pacer_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stream has a budget of its own."""
-    return _paced(views.routes(spark, sf_dir))
-
-
-def _paced(rows: DataFrame) -> DataFrame:
-    return rp.budget_pacer(rows, "stream", ["event_time", "route_id"], "k", 40.0).select("stream", "n", "route_id", F.round("multiplier", 6).alias("multiplier"))
+    paced = rp.budget_pacer(views.routes(spark, sf_dir), "stream", ["event_time", "route_id"], "k", 40.0)
+    return paced.select("stream", "n", "route_id", F.round("multiplier", 6).alias("multiplier"))
 
 
 @_register("ips_value", f"""with {_R}, w as (select k / 100.0 as r, case when model_id = case when route_id % 2 = 0 then 'click' else 'view' end then 1 / probability else 0 end as w from routes)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def token_shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("signature_buckets", f"with {_SHINGLES}, sig as (select query_id, unnest(list_sort(h)[1:8]) as bucket from sh) select bucket, count(*) as n from sig group by 1 having count(*) > 1")
 def signature_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dd.signature_buckets(dd.shingled(views.queries(spark, sf_dir)))[1]
+    return dd.signature_buckets(dd.shingled(views.queries(spark, sf_dir)))[1].withColumn("bucket", tx.hash_digits("bucket"))
 
 
 @_register("near_dup_pairs", f"with {_PAIRS} select a, b, round(similarity, 6) as similarity from pairs")
@@ -229,10 +231,19 @@ def split_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_day", "last_day")})
 
 
-@_register("split_leak_audit", "select cast(0 as integer) as rule, '' as detail where false")
+_LEAK = f"""with recursive {_SIMPLE_GROUPS}, {_walk('family_held_out:queries')},
+honest as (select g.query_id, p.partition from grouped g join placed p using (group_id) union all select query_id, 'probe' from probes),
+planted as (select query_id, case when partition <> 'probe' and cast(query_id as bigint) % 7 = 0 then 'test' else partition end as partition from honest),
+torn as (select m.cluster_id from planted p join members m using (query_id) group by 1 having count(distinct p.partition) > 1)
+select cast(6 as integer) as rule, 'duplicate cluster ' || cluster_id || ' crosses query partitions' as detail from torn"""
+
+
+@_register("split_leak_audit", _LEAK)
 def split_leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broken promises of the family split; there are none."""
+    """Broken promises of a family split into whose test queries every seventh id was planted."""
     queries, models = views.queries(spark, sf_dir), views.models(spark, sf_dir)
     found = dd.deduplicate_queries(queries)
     split = sp.build_split("family_held_out", queries, models, found, CONFIG, check=False)
-    return sp.split_violations(split, queries, models, found)
+    leaked = F.when((F.col("partition") != "probe") & (F.col("query_id").cast("long") % 7 == 0), "test").otherwise(F.col("partition"))
+    planted = replace(split, queries=sp.materialize(split.queries.withColumn("partition", leaked), "planted"))
+    return sp.split_violations(planted, queries, models, found)

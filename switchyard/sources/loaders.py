@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.errors import SplitIOError
@@ -16,13 +16,25 @@ def _conform(df: DataFrame, schema) -> DataFrame:
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
 
 
+def _source() -> Column:
+    """A query's source from the two parts of its name; null if one is missing."""
+    return F.concat(F.nullif("source_dataset", F.lit("")), F.lit(":"), F.nullif("source_config", F.lit("")))
+
+
+def _complete(rows: DataFrame, path: str) -> None:
+    bare = rows.where("source is null").first()
+    if bare:
+        raise SplitIOError(f"{path}: query {bare['query_id']} names no source, or only half of one")
+
+
 def queries_from_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Queries with outcomes; the filter and the few columns reach the scan.  None at all is an error."""
     rows = spark.read.parquet(path).where("has_outcomes").select(
-        "query_id", "prompt", "task", F.concat_ws(":", "source_dataset", "source_config").alias("source"), "source_query_id", F.lit(None).cast("string").alias("lineage_id"), "observed_at", "is_probe"
+        "query_id", "prompt", "task", _source().alias("source"), "source_query_id", F.lit(None).cast("string").alias("lineage_id"), "observed_at", "is_probe"
     )
     if rows.isEmpty():
         raise SplitIOError(f"{path} holds no query with outcomes")
+    _complete(rows, path)
     return _conform(rows, QUERY_SCHEMA)
 
 
@@ -34,8 +46,9 @@ def queries_from_jsonl(spark: SparkSession, path: str) -> DataFrame:
     naive = rows.where(F.col("observed_at").isNotNull() & moment.isNull()).first()
     if naive:
         raise SplitIOError(f"{path}: observed_at must be an ISO-8601 timestamp with a timezone: {naive['observed_at']}")
-    source = F.coalesce("source", F.concat_ws(":", "source_dataset", "source_config"))
-    return _conform(rows.withColumns({"observed_at": moment, "source": source, "is_probe": F.coalesce("is_probe", F.lit(False))}), QUERY_SCHEMA)
+    rows = rows.withColumns({"observed_at": moment, "source": F.coalesce("source", _source()), "is_probe": F.coalesce("is_probe", F.lit(False))})
+    _complete(rows, path)
+    return _conform(rows, QUERY_SCHEMA)
 
 
 def models_from_parquet(spark: SparkSession, path: str) -> DataFrame:

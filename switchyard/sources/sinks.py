@@ -8,13 +8,13 @@ import re
 from dataclasses import asdict
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchyard.errors import CanonicalDataError, SplitIOError
+from switchyard.errors import CanonicalDataError, SplitIOError, SplitValidationError
 from switchyard.operators.deduplication import REASONS, DeduplicationResult
 from switchyard.operators.schemas import PRIMARY_KEYS, SCHEMA_VERSION, SCHEMAS, CanonicalTables
-from switchyard.operators.splits import PARTITIONS, STRATEGIES, SplitResult, model_identities, ordered_digest
+from switchyard.operators.splits import PARTITIONS, STRATEGIES, SplitBuildConfig, SplitRatios, SplitResult, boundaries, model_identities, ordered_digest, validate_split
 from switchyard.operators.validation import validate
 
 
@@ -98,11 +98,9 @@ def split_manifest(split: SplitResult, queries: DataFrame, models: DataFrame, de
         "canonical_schema_version": split.config.canonical_schema_version,
         "seed": split.config.seed,
         "ratios": split.config.ratios.as_dict(),
-        "source_digest": ordered_digest(queries) + ordered_digest(models),
-        "deduplication_digest": ordered_digest(deduplication.members),
+        **_inputs(queries, models, deduplication),
         "queries": _partitions(split.queries, "query_id"),
         "models": placed_models,
-        "model_identities": [r.asDict() for r in model_identities(models).orderBy("model_id").collect()],
         "held_out_tasks": list(split.held_out_tasks),
         "held_out_models": placed_models["test"],
         "held_out_families": list(split.held_out_families),
@@ -111,6 +109,57 @@ def split_manifest(split: SplitResult, queries: DataFrame, models: DataFrame, de
     }
 
 
+def split_of_manifest(spark: SparkSession, manifest: dict) -> SplitResult:
+    """The split that a manifest read from JSON describes."""
+
+    def placed(held: dict[str, list[str]], item: str) -> DataFrame:
+        return spark.createDataFrame([(i, name) for name, ids in held.items() for i in ids], f"{item} string, partition string")
+
+    config = SplitBuildConfig(
+        manifest["dataset_id"], manifest["dataset_revision"], manifest["canonical_schema_version"], manifest["seed"], SplitRatios(**manifest["ratios"]), manifest["manifest_version"], manifest["algorithm_version"]
+    )
+    lists = ("held_out_tasks", "held_out_families", "temporal_query_boundaries", "temporal_model_boundaries")
+    return SplitResult(manifest["strategy"], config, placed(manifest["queries"], "query_id"), placed(manifest["models"], "model_id"), *(tuple(manifest[name]) for name in lists))
+
+
+def validate_split_manifest(manifest: dict, queries: DataFrame, models: DataFrame, deduplication: DeduplicationResult) -> None:
+    """Raise unless a manifest, as read from disk, belongs to these inputs and keeps its promises.
+
+    First what it says of its inputs (digests, model identities), then what it
+    says of itself (held-out models, boundaries), then the rules of a split.
+    """
+    try:
+        split = split_of_manifest(queries.sparkSession, manifest)
+        told = {name: manifest[name] for name in ("source_digest", "deduplication_digest", "model_identities", "held_out_models")}
+    except (KeyError, TypeError) as error:
+        raise SplitValidationError(f"not a split manifest: {error}") from error
+    if split.strategy not in STRATEGIES:
+        raise SplitValidationError(f"unknown strategy {split.strategy}")
+    split.config.validate()
+    found = _inputs(queries, models, deduplication)
+    for name, what in (("source_digest", "other queries or models"), ("deduplication_digest", "another deduplication"), ("model_identities", "models of other names")):
+        if told[name] != found[name]:
+            raise SplitValidationError(f"{name}: the manifest was made from {what}")
+    if told["held_out_models"] != sorted(manifest["models"].get("test", [])):
+        raise SplitValidationError("held_out_models: not the test models")
+    if split.strategy == "temporal":
+        bounds = boundaries(split.queries, queries, "query_id", "observed_at"), boundaries(split.models, models, "model_id", "available_at")
+        if bounds != (split.query_boundaries, split.model_boundaries):
+            raise SplitValidationError("temporal boundaries: not the last moments of train and validation")
+    elif split.query_boundaries or split.model_boundaries:
+        raise SplitValidationError("temporal boundaries of a strategy without time")
+    validate_split(split, queries, models, deduplication)
+
+
+def _inputs(queries: DataFrame, models: DataFrame, deduplication: DeduplicationResult) -> dict[str, object]:
+    """What a manifest records of its inputs."""
+    return {
+        "source_digest": ordered_digest(queries) + ordered_digest(models),
+        "deduplication_digest": ordered_digest(deduplication.members),
+        "model_identities": [r.asDict() for r in model_identities(models).orderBy("model_id").collect()],
+    }
+
+
 def write_split_tables(split: SplitResult, path: str) -> None:
     """A split as Parquet partitioned by ``partition``, for corpora of any size."""
     split.queries.write.mode("overwrite").partitionBy("partition").parquet(f"{path}/queries")
@@ -153,9 +202,9 @@ def write_split_bundle(root: Path, queries: DataFrame, models: DataFrame, dedupl
     """One JSON file a strategy, the deduplication manifest and the report, under paths made of the dataset's names."""
     unsupported = unsupported or {}
     if splits.keys() & unsupported.keys():
-        raise SplitIOError("a strategy cannot be both generated and unsupported")
+        raise SplitIOError("a strategy is given both as built and as unsupported")
     if splits.keys() | unsupported.keys() != set(STRATEGIES):
-        raise SplitIOError("a complete bundle must account for all six split strategies")
+        raise SplitIOError("a bundle needs each of the six strategies, built or unsupported")
     config = next(iter(splits.values())).config
     base = root / "data" / "processed" / "splits"
     folder = base / "manifests" / slugify(config.dataset_id) / slugify(config.dataset_revision) / slugify(config.manifest_version)
