@@ -75,9 +75,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 64, written: bool = False) -> DataFrame:
     """``(id, component)`` for every id in ``edges``; a component is its smallest id.
 
+    ``edges`` are written first unless they are said to be read from tables.
+
     Edges are first contracted in as many tasks as there are chunks of a fixed
     size, so what a task can see needs no round and few edges take one task.
     Every round after that is two grouped minima and two joins, so a hub with a
@@ -90,13 +92,16 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     the result.  Repeated edges count once.  An empty table gives an empty one.
     """
     ends = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
-    current = materialize(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    current = ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if not written:
+        current = materialize(current, "edges")
     shape = current.schema
     for done in range(max_rounds):
         parts = -(-current.count() // CHUNK)
         rows = current if done == 0 else _small_star(_large_star(current))
         last, current = current, materialize(rows.coalesce(max(1, parts)).mapInArrow(_contract, shape), "edges")
-        release(last)
+        if done or not written:
+            release(last)
         if parts < 2 or _settled(current):
             break
     else:

@@ -23,6 +23,9 @@ _WRITING = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
 }
 
+#: Rows a task, and so a file, of tables of known size: of large ones, and of those that don't occupy all cores twice.
+FILE_ROWS, SMALL_ROWS = 100_000, 8_000
+
 _open: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scratch_tables", default=None)
 _written: list[tuple[SparkSession, str]] = []
 
@@ -58,9 +61,12 @@ def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the scratch folder and return a scan of what was written.
 
+    With ``rows``, about how many the last stage reads, a table of few rows is
+    written by few tasks and doesn't become hundreds of files.
+
     The returned frame has no lineage beyond the files, so tasks that are
     retried after an executor is lost reread them.  The files go at the end of
     the ``scratch_scope`` they were written in, by ``release``, or else when
@@ -68,11 +74,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/switchyard/{tag}-{uuid.uuid4().hex}"
+    shape = df.schema
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS), min(2 * spark.sparkContext.defaultParallelism, -(-rows // SMALL_ROWS))))
     with _settings(spark, _WRITING):
-        df.write.parquet(path)
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     held = _open.get()
     (_written if held is None else held).append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(shape).parquet(path)
     out.scratch_path = path
     return out
 
