@@ -275,7 +275,7 @@ def _below(*parts) -> F.Column:
     return F.xxhash64("path", *parts).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("path").bitwiseAND(F.lit(1))).alias("path")
 
 
-def _units(marked: DataFrame, joined: DataFrame | None, signatures: DataFrame, threshold: float) -> DataFrame:
+def _units(marked: DataFrame, joined: DataFrame | None, signatures: DataFrame, threshold: float, rows: int) -> DataFrame:
     """Bounded units of nodes: all outsiders, at home in the first, with a share of the main component in each.
 
     An outsider that agrees with the component's head by x can only agree enough
@@ -285,8 +285,8 @@ def _units(marked: DataFrame, joined: DataFrame | None, signatures: DataFrame, t
         inside, outside = marked.where("label = main"), marked.where("label <> main")
     else:
         heads = signatures.select(F.col("doc_id").alias("main"), F.col("signature").alias("head"))
-        rows = marked.join(signatures.select("doc_id", "signature"), "doc_id").join(heads, "main").select("path", "doc_id", F.expr("label = main").alias("inside"), "signature", "head")
-        met = materialize(rows.mapInArrow(_head_agreements, "path long, doc_id long, inside boolean, agreement double"), "met")
+        both = marked.join(signatures.select("doc_id", "signature"), "doc_id").join(heads, "main").select("path", "doc_id", F.expr("label = main").alias("inside"), "signature", "head")
+        met = materialize(both.mapInArrow(_head_agreements, "path long, doc_id long, inside boolean, agreement double"), "met", rows)
         outside = met.where("not inside")
         nearest = outside.groupBy("path").agg(F.max("agreement").alias("nearest"))
         reach = F.col("nearest") + (1 - threshold + MARGIN + 1e-9)
@@ -313,11 +313,11 @@ def _whole(rows: DataFrame) -> DataFrame:
     return rows.select("path", "doc_id", F.col("path").alias("node"), F.lit(0).alias("unit"), F.lit(0).alias("home"))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, documents: int) -> DataFrame:
     """``(path, doc_id, members)`` of the nodes of several documents; ``rows`` is written first, as it is read twice."""
-    written = materialize(rows, "paths")
+    written = materialize(rows, "paths", documents)
     tallies = written.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
-    shared = materialize(written.join(tallies, "path"), "nodes")
+    shared = materialize(written.join(tallies, "path"), "nodes", written.count())
     release(written)
     return shared
 
@@ -335,40 +335,36 @@ def tree_nodes(shared: DataFrame, sets: DataFrame, signatures: DataFrame, thresh
     while True:
         nodes.append(_whole(shared.where(F.col("members") <= node_limit)))
         large = shared.where(F.col("members") > node_limit)
-        if large.isEmpty():
+        rows = large.count()
+        if not rows:
             break
-        likely = materialize(_group_links(_labelled(large, joined), signatures, threshold), "likely")
+        likely = materialize(_group_links(_labelled(large, joined), signatures, threshold), "likely", rows)
         found = confirmed_links(sets, likely, threshold)
         release(likely)
         if not found.isEmpty():
             links.append(found)
-            if joined is not None:
-                release(joined)
             joined = _components(links)
-        named = materialize(_labelled(large.select("path", "doc_id"), joined), "named")
+        named = _labelled(large.select("path", "doc_id"), joined)
         sizes = named.groupBy("path", "label").agg(F.count("*").alias("n")).groupBy("path")
         mixed = sizes.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("main_rows"), F.sum("n").alias("members")).where("main_rows < members")
-        marked = materialize(named.join(mixed, "path"), "marked")
-        release(named)
+        marked = materialize(named.join(mixed, "path"), "marked", rows)
         few = F.col("members") - F.col("main_rows") <= OUTSIDERS
-        nodes.append(materialize(_units(marked.where(few & (F.col("main_rows") > OUTSIDERS)), joined, signatures, threshold), "units"))
+        units = _units(marked.where(few & (F.col("main_rows") > OUTSIDERS)), joined, signatures, threshold, rows)
+        nodes.append(materialize(units, "units", rows))
         rest = marked.where(~(few & (F.col("main_rows") > OUTSIDERS)))
         if level >= LAST_LEVEL:
             nodes.append(_blocks(rest))
             break
         down = rest.join(signatures.select("doc_id", "signature"), "doc_id").select("path", "doc_id", "signature")
-        shared = _shared(down.mapInArrow(_next_paths(STEP), "path long, doc_id long"))
+        shared = _shared(down.mapInArrow(_next_paths(STEP), "path long, doc_id long"), rows)
         release(marked)
         level += STEP
     return reduce(DataFrame.unionByName, nodes), links
 
 
 def _components(links: list[DataFrame]) -> DataFrame:
-    """``(id, component)`` of the links so far, written."""
-    with scratch_scope() as kept:
-        joined = materialize(connected_components(reduce(DataFrame.unionByName, links), "a", "b"), "joined")
-        kept.append(joined)
-    return joined
+    """``(id, component)`` of the links so far, which are read from tables."""
+    return connected_components(reduce(DataFrame.unionByName, links), "a", "b", written=True)
 
 
 def node_pairs(units: DataFrame, signatures: DataFrame, threshold: float, likely: float | None) -> DataFrame:
@@ -408,15 +404,16 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def confirmed_links(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``(a, b)``, read from a table, whose full shingle sets reach the threshold."""
+    count = pairs.count()
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    used = materialize(sets.join(ends, "doc_id", "left_semi"), "used")
+    used = materialize(sets.join(ends, "doc_id", "left_semi"), "used", 2 * count)
     # groups that are dense have few sets and many pairs, so that it is the sets that travel, once
     small = (used.agg(F.sum(F.length("shingles"))).first()[0] or 0) <= BROADCAST_BYTES
     left, right = (used.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     if small:
         left, right = F.broadcast(left), F.broadcast(right)
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    found = materialize(joined.mapInArrow(_confirm(round(100 * threshold)), "a long, b long"), "links")
+    found = materialize(joined.mapInArrow(_confirm(round(100 * threshold)), "a long, b long"), "links", count)
     release(used)
     return found
 
@@ -438,13 +435,14 @@ def near_duplicates(
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with scratch_scope() as kept:
         described = materialize(chosen.mapInArrow(_signature_batches, _SCHEMA), "signatures")
+        rows = described.count()
         linkable = described.where("doc_id is not null and set_id is not null")
         classes = linkable.groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
-        classed = materialize(linkable.select("doc_id", "set_id").distinct().join(classes, "set_id").select("doc_id", "class_id"), "classes")
+        classed = materialize(linkable.select("doc_id", "set_id").distinct().join(classes, "set_id").select("doc_id", "class_id"), "classes", rows)
         heads = classed.where("doc_id = class_id").select("doc_id")
-        signatures = materialize(linkable.select("doc_id", "n_shingles", "signature", "sketch").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads")
-        components = _linked(chosen, signatures, threshold, trees, node_limit)
-        sizes = materialize(described.select("doc_id", "n_shingles"), "sizes")
+        signatures = materialize(linkable.select("doc_id", "n_shingles", "signature", "sketch").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads", rows)
+        components = materialize(_linked(chosen, signatures, threshold, trees, node_limit), "components", rows)
+        sizes = materialize(described.select("doc_id", "n_shingles"), "sizes", rows)
         kept += [sizes, classed, components]
     by_class = classed.join(components.withColumnRenamed("id", "class_id"), "class_id", "left")
     by_doc = by_class.select("doc_id", F.coalesce("component", "class_id").alias("component"))
@@ -455,23 +453,25 @@ def near_duplicates(
 
 
 def _linked(chosen: DataFrame, signatures: DataFrame, threshold: float, trees: int, node_limit: int) -> DataFrame:
-    """``(id, component)`` of the documents with a link, written."""
-    shared = _shared(signatures.mapInArrow(_first_paths(trees, FIRST_LEVELS), "path long, doc_id long"))
-    meeting = materialize(shared.select("doc_id").distinct(), "meeting")
+    """``(id, component)`` of the documents with a link."""
+    documents = signatures.count()
+    shared = _shared(signatures.mapInArrow(_first_paths(trees, FIRST_LEVELS), "path long, doc_id long"), documents * trees)
     # only documents that meet another one somewhere need their sets
-    sets = materialize(_only(chosen, meeting).mapInArrow(_set_batches, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    meeting = shared.select("doc_id").distinct()
+    sets = materialize(_only(chosen, meeting).mapInArrow(_set_batches, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets", documents)
     nodes, links = tree_nodes(shared, sets, signatures, threshold, node_limit)
 
-    def mixed(chosen_nodes: DataFrame) -> DataFrame:
-        """The nodes of more than one component, whose rows are labelled by it."""
-        labelled = materialize(_labelled(chosen_nodes, _components(links) if links else None), "labelled")
+    def pairs(units: DataFrame, likely: float | None) -> DataFrame:
+        """Pairs of units of more than one component, whose rows are labelled by it."""
+        labelled = materialize(_labelled(units, _components(links) if links else None), "labelled", rows)
         paths = labelled.groupBy("path").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("path")
-        return labelled.join(paths, "path", "left_semi")
+        return node_pairs(labelled.join(paths, "path", "left_semi"), signatures, threshold, likely)
 
+    rows = nodes.count()
     # first a likely partner for each row of the first trees' nodes: copies come together by few proofs
-    near = node_pairs(mixed(nodes.where(F.col("path").bitwiseAND(F.lit(1)) == 1)), signatures, threshold, threshold + 0.05)
-    links.append(confirmed_links(sets, materialize(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first"), threshold))
+    near = pairs(nodes.where(F.col("path").bitwiseAND(F.lit(1)) == 1), threshold + 0.05)
+    first = materialize(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first", rows)
+    links.append(confirmed_links(sets, first, threshold))
     # then every pair of a node that is still apart
-    apart = node_pairs(mixed(nodes), signatures, threshold, None)
-    links.append(confirmed_links(sets, materialize(apart, "apart"), threshold))
+    links.append(confirmed_links(sets, materialize(pairs(nodes, None), "apart", rows), threshold))
     return _components(links)
