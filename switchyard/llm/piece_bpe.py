@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from switchyard.llm.memo import WordMemory, small_parts
 from switchyard.llm.piece_model import BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, PieceModel, safe_parts
 
-MAX_WORDS = 800_000
+MAX_WORDS = 1_000_000
 MAX_PAIRS = 2_000_000
 GROUP = 512
+#: Characters taken off the ends of words, and runs of them that are remembered.
+MARKS, MAX_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()), 10_000
 
 
 class PieceEncoder:
@@ -283,7 +285,29 @@ class PieceDigester:
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         self.encoder, self.decoder = PieceEncoder(path, max_words), PieceDecoder(path)
         self.decimal = [b"%d," % i for i in range(len(self.decoder.raw))]
-        self.memory = WordMemory(lambda words: {w: self._both(self.encoder._word(w)) for w in words}, max_words)
+        self.memory = WordMemory(self._learn, max_words)
+        self.marks: dict[str, tuple[bytes, bytes]] = {}
+
+    def _learn(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Values of words; of those that end in marks which no piece joins to the rest, the rest is often known."""
+        found: dict[str, tuple[bytes, bytes]] = {}
+        neighbours = self.encoder.neighbours
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if not stem or stem is word or len(stem) == len(word) or word[len(stem) - 1 : len(stem) + 1].replace(" ", SPACE) in neighbours:
+                found[word] = self._both(self.encoder._word(word))
+                continue
+            value = found.get(stem) or self.memory.peek(stem)
+            if value is None:
+                value = found[stem] = self._both(self.encoder._word(stem))
+            marks = word[len(stem) :]
+            tail = self.marks.get(marks)
+            if tail is None:
+                if len(self.marks) >= MAX_MARKS:
+                    self.marks = {}
+                tail = self.marks[marks] = self._both(self.encoder._ids(marks))
+            found[word] = (value[0] + tail[0], value[1] + tail[1])
+        return found
 
     def _both(self, ids: bytes) -> tuple[bytes, bytes]:
         numbers = np.frombuffer(ids, "<i4").tolist()
