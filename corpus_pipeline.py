@@ -25,7 +25,13 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples don't vote down."""
+    """Documents that the nearest labelled examples don't vote down.
+
+    Rows are judged by their texts and go by id and text together, so rows
+    without an id, or that share one, are judged each for itself.  Null and
+    empty texts are scored as such.  Other columns are handed on; an empty
+    table stays empty, and without labels every row stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     rejected = score_toxicity(docs.withColumn("_digest", digest), labels, digest_col="_digest").where("predicted = 1")
@@ -33,7 +39,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the largest id, of each group of equal texts."""
+    """One document, that of the largest id, of each group of equal texts; null texts count as empty.
+
+    Of rows that repeat an id and a text, and of copies that all have no id,
+    one stays.  Other columns are handed on; an empty table stays empty.
+    """
     groups = materialize(exact_duplicates(docs).withColumn("digest", F.lower(F.hex("digest"))), "exact")
     digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase), 256)
     kept = without_rows(docs, groups.where("not kept").select("doc_id", "digest"), digest)
@@ -49,17 +59,38 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of near-duplicates."""
-    return without_ids(docs, near_duplicates(docs).where("not kept").select("doc_id"))
+    """One document, that of the smallest id, of each component of near-duplicates.
+
+    Rows without an id of their own (null, or shared with other rows) are known
+    by a negative hash of id and text instead and so come before the others.
+    Texts without a word are near nothing and stay.  Other columns are handed
+    on, whatever their names; an empty table stays empty.
+    """
+    odd = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select(F.col("doc_id").alias("_odd")), "odd")
+    if odd.isEmpty():
+        return without_ids(docs, near_duplicates(docs).where("not kept").select("doc_id"))
+    named = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi").withColumn("_key", F.xxhash64("doc_id", "text").bitwiseOR(F.lit(-(1 << 63))))
+    plain = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd")), "left_anti").withColumn("_key", F.col("doc_id").cast("long"))
+    keyed = materialize(plain.unionByName(named), "keyed")
+    return without_ids(keyed, near_duplicates(keyed, id_col="_key").where("not kept").select("doc_id"), "_key").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark."""
+    """All documents, their secrets replaced by a mark.
+
+    Ids aren't looked at, null texts stay null, other columns are handed on; an
+    empty table stays empty.
+    """
     return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document with its place in a sequence of 4096 tokens."""
+    """A row for each piece of a document with its place in a sequence of 4096 tokens.
+
+    A null text is a piece of the end id alone.  Rows that share an id, or have
+    none, are packed apart and can be told by their places only.  An empty
+    table gives an empty one; columns other than id and text are not looked at.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
