@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -361,3 +362,84 @@ def test_pipeline_judges_rows_without_or_with_repeated_ids(spark, tmp_path):
     assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([x for x in rows + odd if "vilest" not in x[1]])
     got = Counter(r["text"].lower() for r in cp.exact_dedup(spark, spark.createDataFrame(odd, docs.schema), "").collect())
     assert got == Counter({"vilest": 1, "clean words": 1, "clean row": 1})
+
+
+def test_near_copies_without_or_with_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    words = [f"word{i}" for i in range(60)]
+    base, near = " ".join(words), " ".join(["other", *words[1:]])
+    rows = [(1, base), (2, near), (None, "far away from all of that text here"), (3, None), (4, ""), (4, " ".join(f"own{i}" for i in range(30))), (None, " ".join(f"alone{i}" for i in range(30))), (None, " ".join(["x", *(f"alone{i}" for i in range(29))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"component_id": F.lit("own"), "kept": F.lit(1)})
+    left = cp.near_dedup(spark, docs, "")
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert left.columns == docs.columns and len(got) == 6 and (1, base) in got and (2, near) not in got
+    assert sum(t is not None and t.startswith(("alone", "x alone")) for _, t in got) == 1 and sum(i == 4 for i, _ in got) == 2
+    unique = cp.near_dedup(spark, docs.where("doc_id < 4"), "")
+    assert sorted(r["doc_id"] for r in unique.collect()) == [1, 3]
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([], "doc_id long, text string, digest string, score double")
+    for _, stage in cp.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns and after.isEmpty()
+    assert cp.packing(spark, docs, "").isEmpty()
+
+
+def test_scores_against_plain_cosines(spark):
+    """The score of every text by a plain cosine over all pairs, the vote and the curve of the fitted index."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice(["calm", "mild", "grob", "vile", "soft", f"w{rng.randrange(30)}"]) for _ in range(rng.randint(0, 12)))) for i in range(400)]
+    labels = [(i, int("grob" in t.split() and rng.random() < 0.9)) for i, t in rows if i % 5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in score_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    truth = dict(labels)
+    seen: dict[tuple, int] = {}
+    for i, t in rows:  # equal sets of shingles and labels are one example
+        if i in truth:
+            words = t.split()
+            shingles = frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)])
+            seen.setdefault((shingles, truth[i]) if words else (i,), i)
+    chosen = sorted(seen.values())
+    text = dict(rows)
+    bag = {i: Counter(text[i].split()) for i, _ in rows}
+    n, p = len(chosen), sum(truth[i] for i in chosen)
+    kept = []
+    for term in sorted({w for i in chosen for w in bag[i]}):
+        c, a = sum(term in bag[i] for i in chosen), sum(truth[i] for i in chosen if term in bag[i])
+        spread = c * p / n * (1 - p / n) * (n - c) / n
+        if c >= 3 and spread > 0 and (a - c * p / n) ** 2 / spread >= 15:
+            kept.append(term)
+    assert kept  # words of under five letters have no beginnings
+    idf = {t: math.log((1 + len(rows)) / (1 + sum(t in b for b in bag.values()))) for t in kept}
+
+    def vector(i: int) -> dict[str, float]:
+        raw = {t: (1 + math.log(bag[i][t])) * idf[t] for t in kept if t in bag[i]}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        return {t: v / norm for t, v in raw.items()} if norm else raw
+
+    held = {i: vector(i) for i in chosen}
+    bare = [truth[i] for i in chosen if not held[i]]
+    prior = (sum(bare) + 0.5 * p / n) / (len(bare) + 0.5)
+
+    def vote(own: dict[str, float], skip: int | None) -> float:
+        near = sorted(((-round(sum(w * held[j].get(t, 0.0) for t, w in own.items()), 12), j) for j in chosen if j != skip))
+        near = [(-c, j) for c, j in near if c < 0][:15]
+        mass = sum(c * c for c, _ in near)
+        return (sum(c * c * truth[j] for c, j in near) + prior) / (mass + 1)
+
+    points = sorted((vote(held[i], i), truth[i]) for i in chosen if held[i])
+    blocks: list[list[float]] = []
+    for x, y in points:
+        blocks.append([y, 1, x])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            mean, weight, last = blocks.pop()
+            blocks[-1] = [(blocks[-1][0] * blocks[-1][1] + mean * weight) / (blocks[-1][1] + weight), blocks[-1][1] + weight, last]
+    for i, _ in rows:
+        own = vector(i)
+        want = prior if not own else 0.95 * float(np.interp(v := vote(own, None), [b[2] for b in blocks], [b[0] for b in blocks])) + 0.05 * v
+        assert got[i]["score"] == pytest.approx(min(1.0, max(0.0, want)), abs=1e-6)
