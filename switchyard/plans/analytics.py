@@ -115,6 +115,13 @@ def preset_intelligence_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ro.preset_route(rows, "intelligence").select("query_id", "model_id")
 
 
+@_register("preset_balanced_route", f"""with {_O} select query_id, model_id from outcomes
+qualify row_number() over (partition by query_id order by 1.0::double * score - 0.3::double * cost - 0.1::double * latency desc, model_id) = 1""")
+def preset_balanced_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.outcomes(spark, sf_dir).withColumn("quality", F.col("score"))
+    return ro.preset_route(rows, "balanced").select("query_id", "model_id")
+
+
 # quality and latency
 
 
@@ -185,6 +192,13 @@ def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mt.auroc(views.predictions(spark, sf_dir)))
 
 
+@_register("pairwise_ranking_loss", f"""with {_PR}, n as (select score, sum(1 - label) as neg, sum(label) as pos from predictions group by 1),
+c as (select pos, neg, sum(neg) over (order by score rows unbounded preceding) - neg as below, sum(neg) over () as negs, sum(pos) over () as poss from n)
+select round(1 - sum(pos * (below + neg / 2.0)) / max(poss * negs), 6) as pairwise_loss from c""")
+def pairwise_ranking_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(mt.pairwise_ranking_loss(views.predictions(spark, sf_dir)))
+
+
 @_register("auprc", f"""with {_PR}, s as (select score, sum(label) as pos, count(*) as n from predictions group by 1),
 c as (select pos, sum(pos) over w as tp, sum(n) over w as k from s window w as (order by score desc rows unbounded preceding))
 select round(sum(pos * tp / k) / sum(pos), 6) as auprc from c""")
@@ -263,6 +277,22 @@ def sliding_regret(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rp.sliding_regret(views.routes(spark, sf_dir), "stream", ["event_time", "route_id"], 10, "regret_milli").select("route_id", "sliding_regret"))
 
 
+@_register("recovery_time", f"""with {_R}, t as (select stream, row_number() over w as n, avg(regret_milli) over (partition by stream order by event_time, route_id rows between 4 preceding and current row) as m
+  from routes window w as (partition by stream order by event_time, route_id))
+select stream, cast(min(n) - 10 as integer) as recovery from t where n > 10 and m <= 300 group by 1""")
+def recovery_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.recovery_time(views.routes(spark, sf_dir), "stream", ["event_time", "route_id"], 10, 300, 5, "regret_milli")
+
+
+@_register("replay_events", f"""with {_R}, shocks as (select stream, model_id as event, event_time as begins_at from routes where model_id = 'error' qualify row_number() over (partition by stream, event_time order by route_id) = 1)
+select r.route_id, s.event, s.begins_at from routes r asof left join shocks s on r.stream = s.stream and r.event_time >= s.begins_at""")
+def replay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes with the last error of their stream."""
+    rows = views.routes(spark, sf_dir)
+    shocks = rows.where("model_id = 'error'").select("stream", F.col("model_id").alias("event"), F.col("event_time").alias("begins_at")).distinct()
+    return rp.replay_events(rows.select("route_id", "stream", "event_time"), shocks, "stream", "event_time").select("route_id", "event", "begins_at")
+
+
 @_register("allocation_entropy", f"""with {_R}, c as (select date_trunc('day', event_time) as day, model_id, count(*) as n from routes group by 1, 2), p as (select day, n / sum(n) over (partition by day) as p from c)
 select day, round(-sum(p * ln(p)), 6) as entropy from p group by 1""")
 def allocation_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
