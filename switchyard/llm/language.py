@@ -90,7 +90,7 @@ class RunVectors:
         self.dimensions, self.seed = dimensions, seed
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.matrix = np.zeros((4096, dimensions), np.float32)
+        self.matrix = np.zeros((4096, dimensions), np.int8)
 
     def letter(self, point: int) -> np.ndarray:
         if point not in self.letters:
@@ -114,7 +114,7 @@ class RunVectors:
                     self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
                 self.matrix[at] = self.bound(run)
                 self.rows[run] = at
-        return self.matrix[[self.rows[run] for run in numbers]]
+        return self.matrix[[self.rows[run] for run in numbers]].astype(np.float32)
 
     def profiles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Unit profiles of texts, zero where there is no run; and which texts have a letter."""

@@ -173,6 +173,37 @@ def test_url_index_equals_trying_every_rule():
         assert (a and a.name) == (b and b.name)
 
 
+def test_languages_against_plain_profiles(spark):
+    """Every cosine from letter vectors bound and bundled run by run."""
+    rng = random.Random(17)
+    letters = ["abcde ", "éèxyz ", "αβγδΣ ", "日本語 1,"]
+    rows = [(i, "".join(rng.choice(letters[(k := i % 4)] if rng.random() < 0.8 else letters[k - 1]) for _ in range(rng.randint(0, 60))), f"l{i % 4}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    vectors: dict[str, np.ndarray] = {}
+
+    def vector(c: str) -> np.ndarray:
+        if c not in vectors:
+            vectors[c] = np.random.default_rng([7, ord(c)]).integers(0, 2, 1024) * 2 - 1
+        return vectors[c]
+
+    def profile(text: str) -> np.ndarray:
+        folded = "".join(c.lower() if c.isalpha() else " " for c in text)
+        padded = re.sub(" +", " ", f" {folded} ")
+        runs = [padded[i : i + 3] for i in range(len(padded) - 2) if padded[i + 1] != " "]
+        bundle = sum((np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c) for a, b, c in runs), np.zeros(1024))
+        return bundle / (np.linalg.norm(bundle) or 1)
+
+    own = {i: profile(t) for i, t, _ in rows}
+    sums = {lang: sum(own[i] for i, _, x in rows if x == lang and i % 3 != 1) for lang in ("l0", "l1", "l2", "l3")}
+    want = {i: [float(p @ (s / np.linalg.norm(s))) for s in sums.values()] for i, p in own.items()}
+    for r in identify_languages(docs, learn_prototypes(docs.where("doc_id % 3 <> 1"))).collect():
+        if any(c.isalpha() for c in rows[r["doc_id"]][1]):
+            assert r["score"] == pytest.approx(max(0.0, max(want[r["doc_id"]])), abs=1e-5)
+            assert want[r["doc_id"]][int(r["lang_pred"][1])] == pytest.approx(max(want[r["doc_id"]]), abs=1e-5)
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+
+
 def test_languages(spark):
     rng = random.Random(7)
     words = {"aa": ["bari", "lomu", "teka", "mino"], "bb": ["schrt", "grümpf", "kneck", "wolz"], "cc": ["éàu", "èoiê", "auxé", "çeau"]}
