@@ -74,6 +74,8 @@ SEGMENT = 1024
 BROADCAST_IDS = 500_000
 #: More bytes of sets than this are not broadcast either.
 BROADCAST_BYTES = 12_000_000
+#: Plain rows that a row with a sketch or a set counts for, where tasks are sized.
+WIDE = 16
 
 _SCHEMA = "doc_id long, n_shingles long, set_id binary, signature binary, sketch binary"
 
@@ -406,7 +408,7 @@ def confirmed_links(sets: DataFrame, pairs: DataFrame, threshold: float) -> Data
     """The pairs ``(a, b)``, read from a table, whose full shingle sets reach the threshold."""
     count = pairs.count()
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    used = materialize(sets.join(ends, "doc_id", "left_semi"), "used", 2 * count)
+    used = materialize(sets.join(ends, "doc_id", "left_semi"), "used", WIDE * 2 * count)
     # groups that are dense have few sets and many pairs, so that it is the sets that travel, once
     small = (used.agg(F.sum(F.length("shingles"))).first()[0] or 0) <= BROADCAST_BYTES
     left, right = (used.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
@@ -440,7 +442,7 @@ def near_duplicates(
         classes = linkable.groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
         classed = materialize(linkable.select("doc_id", "set_id").distinct().join(classes, "set_id").select("doc_id", "class_id"), "classes", rows)
         heads = classed.where("doc_id = class_id").select("doc_id")
-        signatures = materialize(linkable.select("doc_id", "n_shingles", "signature", "sketch").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads", rows)
+        signatures = materialize(linkable.select("doc_id", "n_shingles", "signature", "sketch").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads", WIDE * rows)
         components = materialize(_linked(chosen, signatures, threshold, trees, node_limit), "components", rows)
         sizes = materialize(described.select("doc_id", "n_shingles"), "sizes", rows)
         kept += [sizes, classed, components]
@@ -458,7 +460,7 @@ def _linked(chosen: DataFrame, signatures: DataFrame, threshold: float, trees: i
     shared = _shared(signatures.mapInArrow(_first_paths(trees, FIRST_LEVELS), "path long, doc_id long"), documents * trees)
     # only documents that meet another one somewhere need their sets
     meeting = shared.select("doc_id").distinct()
-    sets = materialize(_only(chosen, meeting).mapInArrow(_set_batches, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets", documents)
+    sets = materialize(_only(chosen, meeting).mapInArrow(_set_batches, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets", WIDE * documents)
     nodes, links = tree_nodes(shared, sets, signatures, threshold, node_limit)
 
     def pairs(units: DataFrame, likely: float | None) -> DataFrame:
