@@ -288,7 +288,7 @@ def _units(marked: DataFrame, joined: DataFrame | None, signatures: DataFrame, t
     else:
         heads = signatures.select(F.col("doc_id").alias("main"), F.col("signature").alias("head"))
         both = marked.join(signatures.select("doc_id", "signature"), "doc_id").join(heads, "main").select("path", "doc_id", F.expr("label = main").alias("inside"), "signature", "head")
-        met = materialize(both.mapInArrow(_head_agreements, "path long, doc_id long, inside boolean, agreement double"), "met", rows)
+        met = materialize(both.mapInArrow(_head_agreements, "path long, doc_id long, inside boolean, agreement double"), "met", WIDE * rows)
         outside = met.where("not inside")
         nearest = outside.groupBy("path").agg(F.max("agreement").alias("nearest"))
         reach = F.col("nearest") + (1 - threshold + MARGIN + 1e-9)
@@ -358,7 +358,7 @@ def tree_nodes(shared: DataFrame, sets: DataFrame, signatures: DataFrame, thresh
             nodes.append(_blocks(rest))
             break
         down = rest.join(signatures.select("doc_id", "signature"), "doc_id").select("path", "doc_id", "signature")
-        shared = _shared(down.mapInArrow(_next_paths(STEP), "path long, doc_id long"), rows)
+        shared = _shared(down.mapInArrow(_next_paths(STEP), "path long, doc_id long"), WIDE * rows)
         release(marked)
         level += STEP
     return reduce(DataFrame.unionByName, nodes), links
@@ -415,7 +415,7 @@ def confirmed_links(sets: DataFrame, pairs: DataFrame, threshold: float) -> Data
     if small:
         left, right = F.broadcast(left), F.broadcast(right)
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    found = materialize(joined.mapInArrow(_confirm(round(100 * threshold)), "a long, b long"), "links", count)
+    found = materialize(joined.mapInArrow(_confirm(round(100 * threshold)), "a long, b long"), "links", WIDE * count)
     release(used)
     return found
 
