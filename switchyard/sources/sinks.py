@@ -184,7 +184,7 @@ def render_report(result: DeduplicationResult, manifests: dict[str, dict], unsup
     queries, clusters, several = result.members.count(), sizes.count(), sizes.where("count > 1").count()
     why = {r["reason"]: r["n"] for r in result.reasons.groupBy("reason").agg(F.count_distinct("cluster_id").alias("n")).collect()}
     out = ["# Duplicates and leakage-safe splits", "", "Only counts and ids are shown, never prompt text.", "", "| Measure | Value |", "|---|---:|"]
-    rows = {"Queries": queries, "Atomic clusters": clusters, "Clusters of several queries": several, "Near-duplicate pairs": result.pairs.count(), "Buckets over the limit": result.skipped_buckets}
+    rows = {"Queries": queries, "Atomic clusters": clusters, "Clusters of several queries": several, "Near-duplicate pairs": result.pair_count, "Buckets over the limit": result.skipped_buckets}
     out += [f"| {name} | {value:,} |" for name, value in rows.items()]
     out += ["", "| Evidence | Clusters |", "|---|---:|", *(f"| {r} | {why.get(r, 0):,} |" for r in REASONS), ""]
     heads = [f"{p} {what}" for what, names in (("queries", (*PARTITIONS, "probe")), ("models", (*PARTITIONS, "shared"))) for p in names]
