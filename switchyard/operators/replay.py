@@ -99,29 +99,57 @@ def _uniform(*parts: object) -> float:
     return int(hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 16**13
 
 
-class LinUcb:
-    """Discounted linear bandit of one stream: ridge statistics for each model."""
+def _linucb(choices: list[str], width: int, alpha: float, gamma: float, forced: int, ridge: float = 1.0):
+    """Discounted linear bandits of sorted streams: ridge statistics for each stream and model.
 
-    def __init__(self, width: int, alpha: float = 0.5, gamma: float = 1.0, ridge: float = 1.0):
-        self.width, self.alpha, self.gamma, self.ridge = width, alpha, gamma, ridge
-        self.a: dict[str, np.ndarray] = {}
-        self.b: dict[str, np.ndarray] = {}
-        self.pulls: dict[str, int] = {}
+    The streams of a batch take their steps together; of the batches before,
+    only the state of the stream that goes on is held.
+    """
 
-    def _held(self, model: str) -> tuple[np.ndarray, np.ndarray]:
-        if model not in self.a:
-            self.a[model], self.b[model], self.pulls[model] = self.ridge * np.eye(self.width), np.zeros(self.width), 0
-        return self.a[model], self.b[model]
+    def fresh(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.tile(ridge * np.eye(width), (n, len(choices), 1, 1)), np.zeros((n, len(choices), width)), np.zeros((n, len(choices)), np.int64)
 
-    def score(self, model: str, x: np.ndarray, penalty: float = 0.0) -> float:
-        a, b = self._held(model)
-        solved = np.linalg.solve(a, np.stack([b, x], axis=1))
-        return float(x @ solved[:, 0] + self.alpha * np.sqrt(max(0.0, x @ solved[:, 1])) - penalty)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, done = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).to_pylist()
+            starts = np.array([k for k in range(len(names)) if not k or names[k] != names[k - 1]])
+            lengths = np.diff([*starts, len(names)])
+            a, b, tries = fresh(len(starts))
+            n = np.arange(len(names)) - np.repeat(starts, lengths)
+            if state is not None and names[0] == last:
+                a[0], b[0], tries[0] = state
+                n[: lengths[0]] += done
+            logged = np.array([choices.index(m) if m in choices else -1 for m in batch.column(1).to_pylist()])
+            reward = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+            x = np.stack([np.ones(len(names)), *(batch.column(3 + k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(width - 1))], axis=1)
+            picks = np.zeros(len(names), np.int64)
+            for step in range(lengths.max()):
+                live = np.flatnonzero(lengths > step)
+                at = starts[live] + step
+                now = np.broadcast_to(x[at][:, None, :], (len(at), len(choices), width))
+                solved = np.linalg.solve(a[live], np.stack([b[live], now], axis=-1))
+                score = (now * solved[..., 0]).sum(axis=-1) + alpha * np.sqrt(np.maximum(0.0, (now * solved[..., 1]).sum(axis=-1)))
+                # an unknown score wins over none, and none over the first
+                score[:, 1:] = np.where(np.isnan(score[:, 1:]), -np.inf, score[:, 1:])
+                score[:, 0] = np.where(np.isnan(score[:, 0]), np.inf, score[:, 0])
+                short = tries[live] < forced
+                pick = np.where(short.any(axis=1), short.argmax(axis=1), score.argmax(axis=1))
+                picks[at] = pick
+                agree = pick == logged[at]
+                who, model, seen = live[agree], pick[agree], x[at[agree]]
+                a[who, model] = gamma * a[who, model] + seen[:, :, None] * seen[:, None, :]
+                b[who, model] = gamma * b[who, model] + reward[at[agree]][:, None] * seen
+                tries[who, model] += 1
+            last, state, done = names[-1], (a[-1], b[-1], tries[-1]), int(n[-1]) + 1
+            used = picks == logged
+            chosen = pa.array([choices[k] for k in picks], pa.string())
+            told = pa.array(reward, pa.float64(), mask=~used | np.isnan(reward))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(1), chosen, told, pa.array(used)], [batch.schema.names[0], "n", "model_id", "chosen", "reward", "used"])
 
-    def learn(self, model: str, x: np.ndarray, reward: float) -> None:
-        a, b = self._held(model)
-        self.a[model], self.b[model] = self.gamma * a + np.outer(x, x), self.gamma * b + reward * x
-        self.pulls[model] += 1
+    return run
 
 
 def bandit_replay(rows: DataFrame, stream: str, order: list[str], models: list[str], features: list[str], policy: str = "linucb", alpha: float = 0.5, gamma: float = 1.0, epsilon: float = 0.1, forced: int = 0, seed: int = 0) -> DataFrame:
@@ -132,23 +160,24 @@ def bandit_replay(rows: DataFrame, stream: str, order: list[str], models: list[s
     ``forced`` pulls of every model come first.  Policies: ``linucb`` (gamma
     under one discounts), ``epsilon_greedy``, ``thompson`` (Beta-Bernoulli).
     A stream is sequential by definition and runs in one task; streams run in
-    parallel.  Chance comes from hashes, so a retried task repeats itself.
+    parallel, and those of ``linucb`` in step.  Chance comes from hashes, so a retried task repeats itself.
     """
     choices = sorted(models)
+    kind = dict(rows.dtypes)[stream]
+    shape = f"{stream} {kind}, n long, model_id string, chosen string, reward double, used boolean"
+    if policy == "linucb":
+        ordered = rows.repartition(stream).sortWithinPartitions(stream, *(F.asc_nulls_last(c) for c in order))
+        return ordered.select(stream, "model_id", "reward", *features).mapInArrow(_linucb(choices, len(features) + 1, alpha, gamma, forced), shape)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, kind="stable")
-        bandit = LinUcb(len(features) + 1, alpha, gamma)
         wins, tries = dict.fromkeys(choices, 0.0), dict.fromkeys(choices, 0)
         out = []
         for n, row in enumerate(frame.itertuples(index=False)):
-            x = np.array([1.0, *(float(getattr(row, f)) for f in features)])
             name = getattr(row, stream)
             short = [m for m in choices if tries[m] < forced]
             if short:
                 pick = short[0]
-            elif policy == "linucb":
-                pick = max(choices, key=lambda m: (bandit.score(m, x), -choices.index(m)))
             elif policy == "thompson":
                 rng = np.random.default_rng(int(_uniform(seed, name, n) * 2**52))
                 draws = {m: rng.beta(1 + wins[m], 1 + tries[m] - wins[m]) for m in choices}
@@ -159,14 +188,12 @@ def bandit_replay(rows: DataFrame, stream: str, order: list[str], models: list[s
                 pick = max(choices, key=lambda m: (wins[m] / tries[m] if tries[m] else 1.0, -choices.index(m)))
             used = pick == row.model_id
             if used:
-                bandit.learn(pick, x, row.reward)
                 tries[pick] += 1
                 wins[pick] += min(1.0, max(0.0, row.reward))
             out.append((name, n, row.model_id, pick, float(row.reward) if used else None, used))
         return pd.DataFrame(out, columns=[stream, "n", "model_id", "chosen", "reward", "used"])
 
-    kind = dict(rows.dtypes)[stream]
-    return rows.groupBy(stream).applyInPandas(one, f"{stream} {kind}, n long, model_id string, chosen string, reward double, used boolean")
+    return rows.groupBy(stream).applyInPandas(one, shape)
 
 
 def replay_events(requests: DataFrame, events: DataFrame, stream: str, time: str) -> DataFrame:

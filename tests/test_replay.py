@@ -185,3 +185,21 @@ def test_sessions_and_feedback(spark, tmp_path):
     assert sorted((r["stream"], r["routes"]) for r in ran(user_sessions(routes), "sessions")) == [("a", 1), ("a", 2), ("b", 1)]
     got = {r["route_id"]: r["score"] for r in ran(with_feedback(routes, feedback), "joined")}
     assert got == {0: 1.0, 1: None, 2: None, 3: 0.0, 4: 1.0}
+
+
+def test_streams_of_linucb_step_together(monkeypatch):
+    """Streams in step, cut by batches anywhere, choose as each alone; steps are as many as the longest part has rows."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    streams = {s: [(rng.choice("abcd"), rng.random(), rng.random()) for _ in range(rng.randrange(1, 40))] for s in range(30)}
+    rows = [(s, *r) for s, held in streams.items() for r in held]
+    table = pa.table({"stream": [r[0] for r in rows], "model_id": [r[1] for r in rows], "reward": [r[2] for r in rows], "feature": [r[3] for r in rows]})
+    calls, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda *a: calls.append(1) or solve(*a))
+    for size in (17, len(rows)):
+        calls.clear()
+        out = pa.Table.from_batches(list(rp._linucb(["a", "b", "c"], 2, 0.5, 1.0, 0)(table.to_batches(max_chunksize=size)))).to_pylist()
+        for s, held in streams.items():
+            assert [(r["n"], r["chosen"], r["reward"]) for r in out if r["stream"] == s] == _replayed(held, "linucb", 0, 1.0)
+    assert len(calls) == max(map(len, streams.values()))
